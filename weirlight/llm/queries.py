@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weirlight.llm.packing import op2_pack
+from weirlight.llm.secret_scan import op10_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE: dict[str, str] = {}
