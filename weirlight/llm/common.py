@@ -36,14 +36,16 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: In keys, a null doc_id counts as larger than all others.
+LAST = (1 << 63) - 1
+
+
 def row_key() -> list[Column]:
-    """doc_id and a hash of the text. Rows that share both are the same document repeated, so whatever is derived from the text is the same for them."""
-    return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("text_key")]
+    """owner, which is doc_id or LAST for null, and text_key, a hash of the text and of what is null. Rows that share both are the same document repeated, so whatever is derived from the text is the same for them."""
+    return [F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("owner"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull(), F.col("doc_id").isNull()).alias("text_key")]
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    """Null doc_ids are equal to each other."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
+KEY = ["owner", "text_key"]
 
 
 def utf8(text: str | None) -> bytes:
