@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirlight.llm.packing import op2_pack
 from weirlight.llm.secret_scan import op10_secrets
+from weirlight.llm.suffix_dedup import op6_suffix_dedup
 from weirlight.llm.substring_dedup import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_secrets": op10_secrets,
 }

@@ -30,8 +30,8 @@ from weirlight.llm.common import INVERSE, KEY, joined, mixed, pieces, powers, sl
 
 CHUNK = 1 << 20
 SETTLED, OPEN = 0, 1
-CUT_SCHEMA = "kind int, bucket long, segment long, owner long, text_key long, windows int, copies int, starts array<int>"
-FOUND_SCHEMA = "kind int, bucket long, owner long, text_key long, start int, windows int, copies int"
+CUT_SCHEMA = "kind int, bucket long, segment long, owner long, text_key long, windows int, starts array<int>"
+FOUND_SCHEMA = "kind int, bucket long, owner long, text_key long, start int, windows int"
 SPAN_SCHEMA = "owner long, text_key long, start int, windows int"
 
 
@@ -98,7 +98,6 @@ def _cutter(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (content[1:] != content[:-1])]
             group = np.cumsum(fresh) - 1
             head = np.flatnonzero(fresh)
-            size = np.diff(np.r_[head, len(doc)])
             if rule.smaller:
                 settled = owner > owner[head][group]
                 sent = ~settled
@@ -107,7 +106,7 @@ def _cutter(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 offsets = np.searchsorted(np.flatnonzero(sent), np.r_[lists, len(doc)]).astype(np.int32)
                 values = start[sent]
             else:
-                settled = size[group] > 1
+                settled = np.diff(np.r_[head, len(doc)])[group] > 1
                 lists, values = head, start[head]
                 offsets = np.arange(len(head) + 1, dtype=np.int32)
             done = np.flatnonzero(settled)
@@ -116,7 +115,7 @@ def _cutter(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     starts = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) if kind == SETTLED else offsets, pa.array((start[at] if kind == SETTLED else values).astype(np.int32)))
                     spread = mixed(np.arange(len(at), dtype=np.uint64)) if kind == SETTLED else bucket[at]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), kind, np.int32)), pa.array(spread.view(np.int64)), pa.array(content[at].view(np.int64)), pa.array(owner[at]), pa.array(key[at]), pa.array(windows[at].astype(np.int32)), pa.array(np.minimum(size[group[at]], 2).astype(np.int32)), starts],
+                        [pa.array(np.full(len(at), kind, np.int32)), pa.array(spread.view(np.int64)), pa.array(content[at].view(np.int64)), pa.array(owner[at]), pa.array(key[at]), pa.array(windows[at].astype(np.int32)), starts],
                         names=[x.split()[0] for x in CUT_SCHEMA.split(", ")],
                     )
 
@@ -127,12 +126,12 @@ def _meeting(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """The segments of a partition: which are settled by an equal one, which meet a different one, which are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)) if (batches := iter(batches)) else None
-        if whole is None or not len(whole):
+        own = list(batches)
+        if not sum(map(len, own)):
             return
-        whole = whole.combine_chunks()
-        kind, bucket, content, owner, key, windows, copies = (whole.column(i).to_numpy() for i in range(7))
-        lists = whole.column(7).chunk(0)
+        whole = pa.Table.from_batches(own).combine_chunks()
+        kind, bucket, content, owner, key, windows = (whole.column(i).to_numpy() for i in range(6))
+        lists = whole.column(6).chunk(0)
         offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
 
         def rows(kinds: int, at: np.ndarray) -> pa.RecordBatch:
@@ -140,7 +139,7 @@ def _meeting(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             again = np.repeat(at, n)
             within = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(again), kinds, np.int32)), pa.array(bucket[again]), pa.array(owner[again]), pa.array(key[again]), pa.array(values[offsets[again] + within]), pa.array(windows[again]), pa.array(copies[again])],
+                [pa.array(np.full(len(again), kinds, np.int32)), pa.array(bucket[again]), pa.array(owner[again]), pa.array(key[again]), pa.array(values[offsets[again] + within]), pa.array(windows[again])],
                 names=[x.split()[0] for x in FOUND_SCHEMA.split(", ")],
             )
 
@@ -155,7 +154,6 @@ def _meeting(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         new = new_bucket | np.r_[True, content[at][1:] != content[at][:-1]]
         group, b = np.cumsum(new) - 1, np.cumsum(new_bucket) - 1
         head = np.flatnonzero(new)
-        size = np.diff(np.r_[head, len(at)])[group]
         contents = np.bincount(b[head])[b]  # distinct segments in the bucket
         if rule.smaller:
             settled = owner[at] > owner[at][head][group]
@@ -163,9 +161,7 @@ def _meeting(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             low, high = np.minimum.reduceat(owner[at], edge), np.maximum.reduceat(owner[at], edge)
             left = ~settled & (contents > 1) & (low < high)[b]
         else:
-            settled = size > 1
-            total = np.where(settled, 2, copies[at])
-            copies[at] = total
+            settled = np.diff(np.r_[head, len(at)])[group] > 1
             left = new & (contents > 1)
         if settled.any():
             yield rows(SETTLED, at[settled])
@@ -181,13 +177,13 @@ Exact = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def removed_spans(keyed: DataFrame, rule: Rule, exact: Exact) -> DataFrame:
     """owner, text_key and the list of (start, windows) to be removed. keyed: these two, doc_id and text, in any partitions.
 
-    exact gets the rows (bucket, owner, text_key, start, windows, copies, packed) of whole buckets and returns rows of SPAN_SCHEMA.
+    exact gets the rows (bucket, owner, text_key, start, windows, packed) of whole buckets and returns rows of SPAN_SCHEMA.
     """
     cut = keyed.select(*KEY, "text").mapInArrow(_cutter(rule), CUT_SCHEMA)
     found = stored(cut.repartition("bucket").mapInArrow(_meeting(rule), FOUND_SCHEMA))
-    wanted = found.where(F.col("kind") == OPEN).groupBy(*KEY).agg(F.collect_list(F.struct("bucket", "start", "windows", "copies")).alias("wanted"))
+    wanted = found.where(F.col("kind") == OPEN).groupBy(*KEY).agg(F.collect_list(F.struct("bucket", "start", "windows")).alias("wanted"))
     packed = keyed.repartition(*KEY).join(wanted, KEY).select(*KEY, "text", "wanted", "doc_id")  # with doc_id, the exchange is the same as the last join's
-    packed = packed.mapInArrow(_packing(rule), "bucket long, owner long, text_key long, start int, windows int, copies int, packed binary")
+    packed = packed.mapInArrow(_packing(rule), "bucket long, owner long, text_key long, start int, windows int, packed binary")
     spans = packed.repartition("bucket").mapInArrow(exact, SPAN_SCHEMA)
     spans = spans.unionByName(found.where(F.col("kind") == SETTLED).select(*KEY, "start", "windows"))
     return spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
@@ -195,8 +191,8 @@ def removed_spans(keyed: DataFrame, rule: Rule, exact: Exact) -> DataFrame:
 
 def _packing(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "owner", "text_key", "start", "windows", "copies", "packed"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["bucket", "owner", "text_key", "start", "windows", "packed"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc, key, text, wanted, _ in zip(*(c.to_pylist() for c in batch.columns)):
@@ -204,7 +200,7 @@ def _packing(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 parts = text.split() if rule.words else text
                 for x in wanted:
                     own = parts[x["start"] : x["start"] + x["windows"] + rule.window - 1]
-                    for column, v in zip(out, (x["bucket"], doc, key, x["start"], x["windows"], x["copies"], b" ".join(own) if rule.words else own)):
+                    for column, v in zip(out, (x["bucket"], doc, key, x["start"], x["windows"], b" ".join(own) if rule.words else own)):
                         column.append(v)
                 if len(out[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
