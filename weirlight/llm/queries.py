@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirlight.llm.near_dedup import op4_near_dedup
 from weirlight.llm.packing import op2_pack
 from weirlight.llm.secret_scan import op10_secrets
 from weirlight.llm.suffix_dedup import op6_suffix_dedup
@@ -13,6 +14,7 @@ from weirlight.llm.substring_dedup import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
+    "op4_near_dedup": op4_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_secrets": op10_secrets,
