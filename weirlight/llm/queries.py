@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirlight.llm.decontaminate import op9_decontaminate
+from weirlight.llm.line_dedup import OP3_SQL, op3_line_dedup
 from weirlight.llm.near_dedup import op4_near_dedup
 from weirlight.llm.packing import op2_pack
 from weirlight.llm.secret_scan import op10_secrets
@@ -14,10 +16,14 @@ from weirlight.llm.substring_dedup import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
