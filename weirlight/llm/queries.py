@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weirlight.llm.decontaminate import op9_decontaminate
+from weirlight.llm.html_extract import op8_html_extract
 from weirlight.llm.line_dedup import OP3_SQL, op3_line_dedup
 from weirlight.llm.near_dedup import op4_near_dedup
 from weirlight.llm.packing import op2_pack
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
