@@ -10,6 +10,7 @@ from weirlight.llm.decontaminate import op9_decontaminate
 from weirlight.llm.html_extract import op8_html_extract
 from weirlight.llm.line_dedup import OP3_SQL, op3_line_dedup
 from weirlight.llm.near_dedup import op4_near_dedup
+from weirlight.llm.neighbours import op5_nearest
 from weirlight.llm.packing import op2_pack
 from weirlight.llm.secret_scan import op10_secrets
 from weirlight.llm.suffix_dedup import op6_suffix_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_nearest": op5_nearest,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_html_extract": op8_html_extract,
