@@ -169,5 +169,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select(*KEY, "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without those that a near duplicate stands for. Of rows that share a doc_id one stays; rows without doc_id stay."""
+    chosen = near_groups(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("owner").agg(F.min("text_key").alias("text_key"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key(), F.col("doc_id").isNull().alias("_unnamed"))
+    kept = own.where(~F.col("_unnamed")).join(chosen, KEY, "left_semi").dropDuplicates(KEY)
+    return kept.unionByName(own.where("_unnamed")).select("_row.*")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

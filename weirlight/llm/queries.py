@@ -15,8 +15,10 @@ from weirlight.llm.packing import op2_pack
 from weirlight.llm.secret_scan import op10_secrets
 from weirlight.llm.suffix_dedup import op6_suffix_dedup
 from weirlight.llm.substring_dedup import op7_substring_dedup
+from weirlight.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_pack": op2_pack,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
