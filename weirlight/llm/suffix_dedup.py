@@ -1,10 +1,10 @@
 """Bytes covered by a 200-byte string that also starts anywhere else are removed.
 
-Segments of bytes that share a minimiser meet in a bucket (see superkmers). There the suffixes of the segments that are
-not simply equal are sorted by column-wise construction of the collection's Burrows-Wheeler transform: each round puts
+Segments of bytes that share a minimiser meet in a bucket (see superkmers). There they are cut into short runs of windows
+around longer anchors; runs alone with their anchor go, equal ones are settled. The suffixes of the others are sorted by column-wise construction of the collection's Burrows-Wheeler transform: each round puts
 one more symbol of every string in front of its suffix, finds the new suffix's row from the rank of that symbol in the
 transform so far, and merges the new rows into the sequential files of the transform, of the suffixes and of the common
-prefixes. A common prefix of 200 bytes with either neighbour marks a window. Strings are at most 360 bytes long, so
+prefixes. A common prefix of 200 bytes with either neighbour marks a window. Runs are at most 219 bytes long, so
 there are as many rounds. The files are arrays in memory up to EXTERNAL bytes of strings and lie in the shared folder
 beyond, where it is one that the system mounts.
 
@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlight.llm.common import KEY, row_key, shared_dir, table, utf8
+from weirlight.llm.common import INVERSE, KEY, joined, mixed, powers, row_key, shared_dir, span_hashes, table, utf8
 from weirlight.llm.superkmers import Rule, removed_spans, whole_buckets
 
-LENGTH, GRAM = 200, 40
+LENGTH, GRAM, STEP = 200, 40, 20
 RULE = Rule(words=False, window=LENGTH, gram=GRAM, smaller=False)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 EXTERNAL = 64 << 20
@@ -163,25 +163,81 @@ def _merged(rows: Rows, text: np.ndarray, left: np.ndarray, target: np.ndarray,
         r0, part = r0 + n, following
 
 
+def refined(strings: list[bytes], windows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cuts the windows of each segment into runs of at most STEP whose minimisers lie in the same range of places.
+
+    All windows of such a run contain the same LENGTH - STEP + 1 bytes around the minimiser, the anchor. Runs whose
+    anchor no other run has are dropped; equal runs settle each other; of those that share an anchor but differ, one of
+    each content is left. Returns string number, first window, windows, and whether the run is settled, of the others.
+    """
+    buf, starts = joined(strings)
+    starts = starts[:-1]
+    gram = span_hash_grams(buf, GRAM)
+    reach = LENGTH - GRAM + 1
+    spot = np.full(len(strings), -1, np.int64)
+    for k in range(reach):  # the leftmost place where the gram is the bucket's, among those that all windows hold
+        open_ = np.flatnonzero((spot < 0) & (windows - 1 <= k))
+        hit = open_[gram[starts[open_] + k] == bucket[open_]]
+        spot[hit] = k
+    low, high = (spot - windows + 1) // STEP, spot // STEP
+    n = high - low + 1
+    row = np.repeat(np.arange(len(strings)), n)
+    r = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = np.maximum(spot[row] - (r + 1) * STEP + 1, 0)
+    last = np.minimum(spot[row] - r * STEP, windows[row] - 1)
+    at = starts[row] + spot[row]
+    anchor = mixed(span_hashes(buf, at - r * STEP, at - (r + 1) * STEP + 1 + LENGTH) ^ mixed(bucket[row] + r.astype(np.uint64)))
+    content = mixed(span_hashes(buf, starts[row] + first, starts[row] + last + LENGTH) + (first - spot[row]).astype(np.uint64))
+    order = np.lexsort((content, anchor))
+    row, first, last, anchor, content = (x[order] for x in (row, first, last, anchor, content))
+    new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
+    new = new_anchor | np.r_[True, content[1:] != content[:-1]]
+    head = np.flatnonzero(new)
+    size = np.repeat(np.diff(np.r_[head, len(row)]), np.diff(np.r_[head, len(row)]))
+    b = np.cumsum(new_anchor) - 1
+    contents = np.bincount(b[head])[b]
+    settled, left = size > 1, new & (contents > 1)
+    keep = settled | left
+    return row[keep], first[keep], (last - first + 1)[keep], settled[keep], left[keep]
+
+
+def span_hash_grams(buf: np.ndarray, gram: int) -> np.ndarray:
+    """The hash by which segments pick their minimisers, at each place where a gram begins."""
+    u = buf.astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(u) + 1, np.uint64)
+    np.cumsum(u * powers(len(u)), out=h[1:])
+    out = np.zeros(len(u), np.uint64)
+    if len(u) >= gram:
+        out[: len(u) - gram + 1] = mixed((h[gram:] - h[:-gram]) * powers(len(u) + 1, INVERSE)[: len(u) - gram + 1])
+    return out
+
+
 def _exact(folder: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_buckets(batches, 1 << 20):
+        for rows in whole_buckets(batches, 4 << 20):
             strings = rows.column("packed").to_pylist()
+            owner, key, start, windows, bucket = (rows.column(c).to_numpy() for c in ("owner", "text_key", "start", "windows", "bucket"))
+
+            def spans(string: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(owner[string]), pa.array(key[string]), pa.array((start[string] + at).astype(np.int32)), pa.array(n.astype(np.int32))], names=["owner", "text_key", "start", "windows"])
+
+            row, first, n, settled, left = refined(strings, windows.astype(np.int64), bucket.view(np.uint64))
+            if settled.any():
+                yield spans(row[settled], first[settled], n[settled])
+            row, first, n = row[left], first[left], n[left]
+            runs = [strings[i][f : f + k + LENGTH - 1] for i, f, k in zip(row.tolist(), first.tolist(), n.tolist())]
             own = None
-            if folder is not None and sum(map(len, strings)) > EXTERNAL:
+            if folder is not None and sum(map(len, runs)) > EXTERNAL:
                 own = f"{folder}/rows-{uuid.uuid4().hex}"
                 os.makedirs(own)
             try:
-                string, at = repeated_windows(strings, LENGTH, own)
+                string, at = repeated_windows(runs, LENGTH, own)
             finally:
                 if own:
                     shutil.rmtree(own, ignore_errors=True)
-            if not len(string):
-                continue
-            head = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (at[1:] != at[:-1] + 1)])
-            n = np.diff(np.r_[head, len(at)])
-            owner, key, start = (rows.column(c).to_numpy()[string[head]] for c in ("owner", "text_key", "start"))
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(key), pa.array((start + at[head]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["owner", "text_key", "start", "windows"])
+            if len(string):
+                head = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (at[1:] != at[:-1] + 1)])
+                yield spans(row[string[head]], first[string[head]] + at[head], np.diff(np.r_[head, len(at)]))
 
     return run
 
