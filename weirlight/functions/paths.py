@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,35 +11,36 @@ HDFS_MARKERS = ("/user/", "/data/", "/warehouse/", "/hive/", "/apps/", "/raw/")
 TEMPORARY = ("/tmp/", "/temp/", "/staging/", "_temp", "_tmp", ".tmp", "/scratch/", "_temporary")
 
 
-def _split_scheme(urn: Column) -> tuple[Column, Column, Column]:
-    """scheme with ://, authority and path with what follows it. jdbc:, user@host:path and stream: have no scheme in this sense."""
-    scheme = F.regexp_extract(urn, r"^([a-z][a-z0-9+.-]*://)", 1)
-    rest = F.substring(urn, F.length(scheme) + 1, F.length(urn))
-    authority = F.when(scheme == "", F.lit("")).otherwise(F.regexp_extract(rest, r"^([^/]*)", 1))
-    return scheme, authority, F.substring(rest, F.length(authority) + 1, F.length(rest))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once; without it an expression that uses a part often grows with each use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def canonical_path(urn: Column) -> Column:
-    """Slashes collapsed, . and .. worked out, no slash at the end; scheme, authority, query and fragment stay. An absolute path with a marker of the cluster's file system becomes hdfs://."""
-    scheme, authority, rest = _split_scheme(urn)
-    tail = F.regexp_extract(rest, r"([?#].*)$", 1)
-    path = F.regexp_replace(F.substring(rest, 1, F.length(rest) - F.length(tail)), "/{2,}", "/")
+def _folded(path: Column) -> Column:
+    """Path with . and .. worked out; above the root there is nothing."""
     absolute = path.startswith("/")
-    parts = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when((x == "") | (x == "."), acc)
-        .when((x == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when((x == "..") & absolute, acc)
-        .otherwise(F.concat(acc, F.array(x))),
-    )
-    folded = F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.concat_ws("/", parts))
-    marked = F.lit(False)
-    for m in HDFS_MARKERS:
-        marked = marked | F.concat(folded, F.lit("/")).contains(m)
-    plain = urn.rlike(r"^(jdbc:|stream:|[\w.-]+@)") | (urn.contains(":") & (scheme == ""))
-    whole = F.concat(scheme, authority, folded, tail)
-    return F.when(plain, urn).when((scheme == "") & absolute & marked, F.concat(F.lit("hdfs://"), whole)).otherwise(whole)
+
+    def step(acc: Column, x: Column) -> Column:
+        up = (x == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != "..")
+        return F.when((x == "") | (x == ".") | ((x == "..") & absolute & (F.size(acc) == 0)), acc).when(up, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.concat_ws("/", parts))
+
+
+def canonical_path(urn: Column) -> Column:
+    """Slashes collapsed, . and .. worked out, no slash at the end; scheme, authority, query and fragment stay. An absolute path with a marker of the cluster's file system becomes hdfs://. Names of jdbc:, stream: and user@host: kind stay as they are."""
+    head = F.regexp_extract(urn, r"^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
+
+    def with_head(h: Column) -> Column:
+        rest = F.substring(urn, F.length(h) + 1, F.length(urn))
+        return let(
+            F.struct(_folded(F.regexp_replace(F.regexp_extract(rest, r"^([^?#]*)", 1), "/{2,}", "/")).alias("path"), F.regexp_extract(rest, r"([?#].*)$", 1).alias("tail")),
+            lambda p: F.concat(F.when((h == "") & F.concat(p["path"], F.lit("/")).rlike("|".join(HDFS_MARKERS)) & p["path"].startswith("/"), F.lit("hdfs://")).otherwise(h), p["path"], p["tail"]),
+        )
+
+    plain = urn.rlike(r"^(jdbc:|stream:|[\w.-]+@)") | (urn.contains(":") & ~urn.rlike(r"^[a-z][a-z0-9+.-]*://"))
+    return F.when(plain, urn).otherwise(let(head, with_head))
 
 
 def under(base: Column, path: Column) -> Column:

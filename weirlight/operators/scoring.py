@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirlight.operators import lineage
 
-GENERIC = ("data", "input", "output", "table", "path")
+GENERIC = ("data", "table", "path", "file", "unknown")
 TEMPORARY = ("tmp", "temp", "staging", "scratch", "backup", "test_", "_bak")
 
 
