@@ -16,8 +16,8 @@ def project(tmp_path_factory):
     (root / "jobs").mkdir()
     (root / ".git").mkdir()
     (root / ".git" / "x.py").write_text("spark.read.parquet('/hidden')\n")
-    (root / "jobs" / "etl.py").write_text('spark.read.parquet("/data/raw/input").write.parquet("/data/processed/output")\n')
-    (root / "run.sh").write_text("#!/bin/bash\nOUT=/data/final\nspark-submit jobs/etl.py\nhdfs dfs -cp /data/processed/output $OUT\n")
+    (root / "jobs" / "etl.py").write_text('spark.read.parquet("/data/raw/inbox").write.parquet("/data/clean/outbox")\n')
+    (root / "run.sh").write_text("#!/bin/bash\nOUT=/data/final\nspark-submit jobs/etl.py\nhdfs dfs -cp /data/clean/outbox $OUT\n")
     (root / "bad.py").write_text("def (:\n")
     (root / "blob.py").write_bytes(b"\x00\x01")
     (root / "job").write_text("INSERT OVERWRITE TABLE m.t SELECT * FROM r.s")
@@ -38,28 +38,28 @@ def test_crawl(spark, project):
 
 def test_graph(scanned):
     facts = {(r["fact_type"], r["resolved_path"] or r["dependency_job"]) for r in scanned.facts.where("fact_type in ('READ', 'WRITE', 'JOB_DEPENDENCY')").collect()}
-    assert {("READ", "/data/raw/input"), ("WRITE", "/data/processed/output"), ("READ", "/data/processed/output"), ("WRITE", "/data/final"), ("READ", "hive://r.s"), ("WRITE", "hive://m.t")} <= facts
+    assert {("READ", "/data/raw/inbox"), ("WRITE", "/data/clean/outbox"), ("READ", "/data/clean/outbox"), ("WRITE", "/data/final"), ("READ", "hive://r.s"), ("WRITE", "hive://m.t")} <= facts
     assert scanned.facts.where("fact_type = 'ERROR'").count() == 1
     edges = {(r["src"], r["dst"], r["edge_type"]) for r in scanned.edges.collect()}
-    assert ("hdfs:///data/raw/input", "job://jobs/etl.py", "READ") in edges
-    assert ("hdfs:///data/raw/input", "hdfs:///data/processed/output", "PRODUCES") in edges
+    assert ("hdfs:///data/raw/inbox", "job://jobs/etl.py", "READ") in edges
+    assert ("hdfs:///data/raw/inbox", "hdfs:///data/clean/outbox", "PRODUCES") in edges
     assert ("job://run.sh", "job://jobs/etl.py", "DEPENDS_ON") in edges
-    down = {r["urn"] for r in lineage.reachable(scanned.edges, "hdfs:///data/raw/input").collect()}
-    assert down == {"job://jobs/etl.py", "hdfs:///data/processed/output", "job://run.sh", "hdfs:///data/final"}
+    down = {r["urn"] for r in lineage.reachable(scanned.edges, "hdfs:///data/raw/inbox").collect()}
+    assert down == {"job://jobs/etl.py", "hdfs:///data/clean/outbox", "job://run.sh", "hdfs:///data/final"}
     metric = {r["urn"]: r for r in scanned.metrics.collect()}
-    assert metric["hdfs:///data/raw/input"]["downstream_reach"] == 4 and not metric["hdfs:///data/raw/input"]["is_shell_only"]
+    assert metric["hdfs:///data/raw/inbox"]["downstream_reach"] == 4 and not metric["hdfs:///data/raw/inbox"]["is_shell_only"]
 
 
 def test_one_job_by_hand(spark):
     """One read and one write at 0.75: three edges; the output has one writer and scores 0.75."""
-    rows = [("READ", "/data/raw/input", "j.py", 1, 0.75), ("WRITE", "/data/processed/output", "j.py", 1, 0.75), ("READ", "/data/raw/input", "j.py", 1, 0.7)]
+    rows = [("READ", "/data/raw/inbox", "j.py", 1, 0.75), ("WRITE", "/data/clean/outbox", "j.py", 1, 0.75), ("READ", "/data/raw/inbox", "j.py", 1, 0.7)]
     facts = spark.createDataFrame([(*r, "hdfs", "AST", "", None) for r in rows], "fact_type string, dataset_urn string, source_file string, line_number int, confidence double, dataset_type string, extraction_method string, evidence string, dependency_job string")
     facts = fx.without_repeats(facts)
     nodes = lineage.nodes_of(facts)
     edges = lineage.edges_of(facts, nodes)
     assert (facts.count(), nodes.count(), edges.count()) == (2, 4, 3)
     got = {r["urn"]: (r["fan_in"], r["fan_out"], r["downstream_reach"], r["write_job_count"], r["avg_confidence"], r["priority_score"], r["migration_wave"]) for r in scoring.metrics(nodes, edges, vacuous_shell=True).collect()}
-    assert got == {"hdfs:///data/raw/input": (0, 2, 2, 0, 0.5, 4.0, 3), "hdfs:///data/processed/output": (2, 0, 0, 1, 0.75, 0.75, 2)}
+    assert got == {"hdfs:///data/raw/inbox": (0, 2, 2, 0, 0.5, 4.0, 3), "hdfs:///data/clean/outbox": (2, 0, 0, 1, 0.75, 0.75, 2)}
 
 
 def test_closure_with_cycles(spark):
@@ -92,3 +92,14 @@ def test_sinks(spark, scanned, tmp_path):
     sinks.write_sheets({"top": reports.top_priorities(scanned.metrics)}, str(tmp_path / "sheets"))
     fx.save_json(scanned.facts, str(tmp_path / "facts"))
     assert fx.load_json(spark, str(tmp_path / "facts")).count() == scanned.facts.count()
+
+
+def test_settings(tmp_path):
+    from weirlight.sources.settings import Settings, load_settings
+
+    assert load_settings(base=str(tmp_path)) == Settings()
+    (tmp_path / "weirlight.yaml").write_text("min_confidence: 0.5\nignore_globs: ['**/x/**']\n")
+    assert load_settings(base=str(tmp_path)) == Settings(min_confidence=0.5, ignore_globs=("**/x/**",))
+    (tmp_path / "bad.yaml").write_text("nope: 1\n")
+    with pytest.raises(ValueError):
+        load_settings(str(tmp_path / "bad.yaml"))

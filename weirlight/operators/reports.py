@@ -86,7 +86,7 @@ def by_technology(used: DataFrame) -> DataFrame:
 
 
 def read_write(used: DataFrame) -> DataFrame:
-    out = used.groupBy("technology").pivot("edge_type", ["READ", "WRITE"]).agg(F.count("*")).na.fill(0)
+    out = used.groupBy("technology").pivot("edge_type", ["READ", "WRITE"]).agg(F.count(F.lit(1))).na.fill(0)
     return out.select("technology", F.col("READ").alias("reads"), F.col("WRITE").alias("writes"), F.round(F.col("READ") / F.greatest(F.col("WRITE"), F.lit(1)), 6).alias("ratio"))
 
 
@@ -103,7 +103,7 @@ def most_referenced(used: DataFrame, n: int = 20) -> DataFrame:
 
 
 def wave_by_technology(used: DataFrame) -> DataFrame:
-    out = used.groupBy("migration_wave").pivot("technology", ["Hive", "PySpark", "Scala", "Shell"]).agg(F.count("*")).na.fill(0)
+    out = used.groupBy("migration_wave").pivot("technology", ["Hive", "PySpark", "Scala", "Shell"]).agg(F.count(F.lit(1))).na.fill(0)
     return out.select("migration_wave", *[F.col(t).alias(t.lower()) for t in ("Hive", "PySpark", "Scala", "Shell")])
 
 

@@ -10,7 +10,7 @@ from weirlight.operators import facts as fx
 from weirlight.operators import lineage, reports, rules, scoring
 from weirlight.plans import bridge
 from weirlight.plans.registry import query
-from weirlight.sources import repository
+from weirlight.sources import repository, settings
 from weirlight.sources.storage import stored
 
 
@@ -151,8 +151,7 @@ def ignore_globs(spark, d):
 @query(f"WITH {bridge.SOURCES} SELECT path, path LIKE '%7.py' AS binary FROM sources")
 def binary_filter(spark, d):
     body = F.encode("content", "UTF-8")
-    odd = F.when(F.col("path").endswith("7.py"), F.concat(body, F.unhex(F.lit("00")).cast("binary"))).otherwise(body)
-    odd = F.when(F.col("path").endswith("7.py"), F.concat(F.unhex(F.lit("00")), body)).otherwise(body) if odd is not None else odd
+    odd = F.when(F.col("path").endswith("7.py"), F.concat(F.unhex(F.lit("00")), body)).otherwise(body)
     return bridge.sources(spark, d).select("path", repository.is_binary(odd).alias("binary"))
 
 
@@ -181,7 +180,7 @@ def rules_to_facts(spark, d):
     return rules.to_facts(rules.matches(table_files(spark, d), rules.default_rules(spark), 0.7)).select("fact_type", "source_file", "dataset_urn")
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({sum(t in r[1] for r in rules.DEFAULT_RULES)} AS BIGINT))" for t in sorted({t for r in rules.DEFAULT_RULES for t in r[1]})) + ") AS v(file_type, rules)")
 def rules_stats(spark, d):
     return rules.rules_by_type(rules.default_rules(spark))
 
@@ -404,6 +403,26 @@ def nodes_in_wave(spark, d):
     return scoring.in_wave(_measured(spark, d)[2], 2).select("urn", "priority_score")
 
 
+@query("SELECT p_partkey, p_size >= 10 AS reported FROM part")
+def report_exclusion(spark, d):
+    size = F.col("p_size")
+    name = F.when(size < 10, F.lit("data")).otherwise(F.concat(F.lit("sales_"), size.cast("string")))
+    return bridge.table(spark, d, "part").select("p_partkey", scoring.is_eligible(F.concat(F.lit("/gold/*/"), name), name, wildcards=True).alias("reported"))
+
+
+@query("SELECT n_name AS urn, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey % 2 = 0 END AS is_known FROM nation")
+def catalog_lookup(spark, d):
+    nation = bridge.table(spark, d, "nation")
+    urns = nation.select("n_name", F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("/data/"), "n_name")).otherwise(F.concat(F.lit("hive://"), "n_name")).alias("urn"))
+    tables = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("default."), F.lower("n_name")).alias("name"))
+    return settings.with_catalog(urns, tables).select(F.col("n_name").alias("urn"), "is_known")
+
+
+@query("SELECT * FROM (VALUES ('db.host', 'h'), ('HOST', 'h'), ('db.port', '1'), ('PORT', '1'), ('env', 'prod'), ('ENV', 'prod')) AS v(name, value)")
+def environment_symbols(spark, d):
+    return resolve.environment(spark, {"db": {"host": "h", "port": 1, "none": None}, "env": "prod"})
+
+
 # reports
 
 
