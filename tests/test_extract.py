@@ -1,5 +1,7 @@
 """Extractors on texts of each language."""
 
+import json
+
 from weirlight.operators.extract import extract_text
 
 
@@ -28,7 +30,7 @@ def test_python_kafka_jdbc_delta_sql():
 s = spark.readStream.format("kafka").option("subscribe", "clicks").load()
 s.writeStream.format("parquet").option("path", "/out").option("checkpointLocation", "/chk").start()
 spark.read.jdbc(url="jdbc:oracle:thin:@h", table="A.B")
-spark.read.format("jdbc").option("url", "jdbc:mysql://h/d").option("dbtable", "(select * from t1) q").load()
+spark.read.option("url", "jdbc:mysql://h/d").format("jdbc").option("dbtable", "(select * from t1) q").load()
 t = DeltaTable.forPath(spark, "/delta/t")
 t.alias("a").merge(s, "x").execute()
 spark.sql("WITH c AS (SELECT * FROM db.a) INSERT OVERWRITE TABLE db.o SELECT * FROM c JOIN db.b ON 1=1")
@@ -112,7 +114,10 @@ class A { static final String IN = "/data/in";
 
 
 def test_flows_and_configuration():
-    flow = '{"flowContents": {"processors": [{"identifier": "1", "name": "in", "type": "org.x.GetHDFS", "config": {"properties": {"Directory": "/landing"}}}], "processGroups": [{"processors": [{"identifier": "2", "name": "out", "type": "org.x.PublishKafka_2_6", "config": {"properties": {"topic": "t"}}}]}]}, "parameterContexts": [{"name": "c", "parameters": [{"name": "p", "value": "v"}]}]}'
+    unit = lambda i, kind, **p: {"type": f"org.x.{kind}", "name": i, "identifier": i, "config": {"properties": p}}
+    inner = {"processors": [unit("2", "PublishKafka_2_6", topic="t")]}
+    contexts = [dict(name="c", parameters=[dict(value="v", name="p")])]
+    flow = json.dumps({"parameterContexts": contexts, "flowContents": {"processGroups": [inner], "processors": [unit("1", "GetHDFS", Directory="/landing")]}})
     assert got(flow, "nifi") == [("CONFIG", "p"), ("READ", "/landing"), ("WRITE", "kafka://t")]
     assert got('{"a": {"b": [1, {"c": true}], "d": null}}', "json") == [("CONFIG", "a.b[0]"), ("CONFIG", "a.b[1].c")]
     assert got("a:\n  b: x\n", "yaml") == [("CONFIG", "a.b")]

@@ -13,7 +13,7 @@ from typing import Any
 from weirlight.operators.extract.common import config, database, fact, hive
 from weirlight.operators.extract.sql_code import sql_facts
 
-FILES = {"parquet", "csv", "json", "orc", "text", "avro", "load", "save", "start", "textFile"}
+FILES = set("parquet csv json orc text avro load save start textFile".split())
 DEPTH = 4
 
 
@@ -109,12 +109,13 @@ class Reader(ast.NodeVisitor):
         while isinstance(node, ast.Call | ast.Attribute):
             if isinstance(node, ast.Attribute):
                 chain.append(node.attr)
-            elif isinstance(node.func, ast.Attribute):
-                if node.func.attr == "option" and len(node.args) > 1:
+            else:
+                called = getattr(node.func, "attr", "")
+                if called == "option" and len(node.args) > 1:
                     options.setdefault(self.fold(node.args[0]) or "", self.fold(node.args[1]))
-                if node.func.attr == "options":
+                if called == "options":
                     options = {k.arg: self.fold(k.value) for k in node.keywords if k.arg} | options
-                if node.func.attr == "format" and node.args:
+                if called == "format" and node.args:
                     formats = formats or self.fold(node.args[0])
             node = node.func if isinstance(node, ast.Call) else node.value
         last = chain[0] if chain else (x.func.id if isinstance(x.func, ast.Name) else "")
@@ -180,7 +181,7 @@ class Reader(ast.NodeVisitor):
     def mode(self, x: ast.Call) -> str | None:
         node: ast.AST = x
         while isinstance(node, ast.Call | ast.Attribute):
-            if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "mode" and node.args:
+            if isinstance(node, ast.Call) and node.args and getattr(node.func, "attr", "") == "mode":
                 return self.fold(node.args[0])
             node = node.func if isinstance(node, ast.Call) else node.value
         return None

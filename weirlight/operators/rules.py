@@ -12,29 +12,29 @@ from pyspark.sql import functions as F
 
 ACTIONS = ("READ_HDFS_PATH", "WRITE_HDFS_PATH", "READ_HIVE_TABLE", "WRITE_HIVE_TABLE", "READ_LOCAL_PATH", "WRITE_LOCAL_PATH", "JOB_INVOCATION", "CONFIG_REFERENCE")
 SCHEMA = "rule_id string, applies_to array<string>, pattern string, action string, confidence double, case_sensitive boolean, multiline boolean"
-_PATH, _TABLE = r"[\"'](?P<path>[^\"']+)[\"']", r"(?P<table>[\w$`{}.:]+)"
+_PATH, _TABLE = r"[\"'](?P<place>[^\"']+)[\"']", r"(?P<relation>[\w$`{}.:]+)"
 
 
 def _rules() -> Iterator[tuple]:
     for name in ("parquet", "csv", "json", "orc"):
         yield f"py_read_{name}", ["pyspark"], rf"\.{name}\(\s*{_PATH}(?<!\.write)", "READ_HDFS_PATH", 0.75, True, False
-    yield "py_read_table", ["pyspark"], rf"\bread(?:Stream)?\s*\.\s*table\(\s*[\"'](?P<table>[^\"']+)", "READ_HIVE_TABLE", 0.8, True, False
+    yield "py_read_table", ["pyspark"], rf"\bread(?:Stream)?\s*\.\s*table\(\s*[\"'](?P<relation>[^\"']+)", "READ_HIVE_TABLE", 0.8, True, False
     for name in ("parquet", "csv"):
         yield f"py_write_{name}", ["pyspark"], rf"\bwrite\b[^\n]*?\.{name}\(\s*{_PATH}", "WRITE_HDFS_PATH", 0.75, True, False
     for name in ("saveAsTable", "insertInto"):
-        yield f"spark_{name}", ["pyspark", "scala"], rf"\.{name}\(\s*[\"'](?P<table>[^\"']+)", "WRITE_HIVE_TABLE", 0.8, True, False
+        yield f"spark_{name}", ["pyspark", "scala"], rf"\.{name}\(\s*[\"'](?P<relation>[^\"']+)", "WRITE_HIVE_TABLE", 0.8, True, False
     yield "scala_read_parquet", ["scala"], rf"\bread\b[^\n]*?\.parquet\(\s*{_PATH}", "READ_HDFS_PATH", 0.75, True, False
-    yield "scala_read_table", ["scala"], r"\.table\(\s*\"(?P<table>[^\"]+)", "READ_HIVE_TABLE", 0.8, True, False
+    yield "scala_read_table", ["scala"], r"\.table\(\s*\"(?P<relation>[^\"]+)", "READ_HIVE_TABLE", 0.8, True, False
     for name, pattern, action, confidence in (
         ("overwrite", rf"\binsert\s+overwrite\s+table\s+{_TABLE}", "WRITE_HIVE_TABLE", 0.9), ("into", rf"\binsert\s+into\s+(?:table\s+)?{_TABLE}", "WRITE_HIVE_TABLE", 0.9), ("ctas", rf"\bcreate\s+(?:external\s+)?table\s+(?:if\s+not\s+exists\s+)?{_TABLE}[^;]*?\bas\s+select\b", "WRITE_HIVE_TABLE", 0.9),
         ("from", rf"\bfrom\s+{_TABLE}", "READ_HIVE_TABLE", 0.85), ("join", rf"\bjoin\s+{_TABLE}", "READ_HIVE_TABLE", 0.85), ("load", rf"\bload\s+data\b[^;]*?\binto\s+table\s+{_TABLE}", "WRITE_HIVE_TABLE", 0.9), ("location", rf"\balter\s+table\s+\S+\s+set\s+location\s+{_PATH}", "WRITE_HDFS_PATH", 0.85),
     ):
         yield f"sql_{name}", ["hive"], pattern, action, confidence, False, True
     fs = r"\b(?:hdfs\s+dfs|hadoop\s+fs)\s+-"
-    yield "sh_get", ["shell"], fs + r"(?:get|copyToLocal)\s+(?:-\w+\s+)*(?P<path>[^\s-]\S*)", "READ_HDFS_PATH", 0.7, True, False
+    yield "sh_get", ["shell"], fs + r"(?:get|copyToLocal)\s+(?:-\w+\s+)*(?P<place>[^\s-]\S*)", "READ_HDFS_PATH", 0.7, True, False
     for name, verb in (("put", "(?:put|copyFromLocal)"), ("cp", "cp"), ("mv", "mv")):
-        yield f"sh_{name}", ["shell"], fs + verb + r"\s+(?:-\w+\s+)*\S+\s+(?P<path>\S+)", "WRITE_HDFS_PATH", 0.7, True, False
-    yield "sh_distcp", ["shell"], r"\bdistcp\s+(?:-\w+\s+(?:\d+\s+)?)*\S+\s+(?P<path>\S+)", "WRITE_HDFS_PATH", 0.75, True, False
+        yield f"sh_{name}", ["shell"], fs + verb + r"\s+(?:-\w+\s+)*\S+\s+(?P<place>\S+)", "WRITE_HDFS_PATH", 0.7, True, False
+    yield "sh_distcp", ["shell"], r"\bdistcp\s+(?:-\w+\s+(?:\d+\s+)?)*\S+\s+(?P<place>\S+)", "WRITE_HDFS_PATH", 0.75, True, False
     yield "sh_submit", ["shell"], r"\bspark-submit\b(?P<job>[^\n]*)", "JOB_INVOCATION", 0.8, True, False
     yield "sh_hive_e", ["shell"], r"\bhive\s+-e\s+[\"'](?P<job>[^\"']*)", "JOB_INVOCATION", 0.75, True, False
     yield "sh_hive_f", ["shell"], r"\bhive\s+-f\s+(?P<job>\S+)", "JOB_INVOCATION", 0.8, True, False
@@ -99,7 +99,7 @@ def matches(files: DataFrame, rules: DataFrame, min_confidence: float = 0.0) ->
 
 def to_facts(found: DataFrame) -> DataFrame:
     """READ, WRITE and JOB_DEPENDENCY facts of matches; references to configuration are no facts."""
-    table, path, job = F.col("groups")["table"], F.col("groups")["path"], F.col("groups")["job"]
+    table, path, job = F.col("groups")["relation"], F.col("groups")["place"], F.col("groups")["job"]
     kind = F.when(F.col("action").startswith("READ"), "READ").when(F.col("action").startswith("WRITE"), "WRITE").when(F.col("action") == "JOB_INVOCATION", "JOB_DEPENDENCY")
     urn = F.when(table.isNotNull(), F.concat(F.lit("hive://"), F.lower(F.regexp_replace(table, "`", "")))).otherwise(path)
     out = found.select(

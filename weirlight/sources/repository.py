@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weirlight.functions.detect import file_type
 
 SKIPPED_SUFFIXES = ("pyc", "pyo", "class", "jar", "so", "dll", "exe", "zip", "gz", "tar", "png", "jpg", "jpeg", "gif", "pdf", "ico", "parquet", "orc", "avro", "lock", "log")
-SKIPPED_GLOBS = (".git/**", "**/.git/**", "**/__pycache__/**", "**/node_modules/**", "**/target/**", "**/.venv/**", "**/.idea/**")
+SKIPPED_GLOBS = tuple(f"**/{folder}/**" for folder in (".git", "__pycache__", "node_modules", "target", ".venv", ".idea"))
 
 
 def glob_pattern(glob: str) -> str:
