@@ -75,3 +75,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+runs AS (SELECT rid, doc_id, list_transform(range(1, len(words) - 11), lambda k: array_to_string(words[k:k + 12], ' ')) AS runs FROM texts WHERE len(words) >= 13),
+windows AS (SELECT rid, doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS k FROM runs),
+least AS (SELECT run, min(doc_id) AS first FROM windows GROUP BY run),
+gone AS (SELECT DISTINCT rid, unnest(range(k, k + 13)) AS place FROM windows JOIN least USING (run) WHERE first < doc_id),
+flat AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM flat ANTI JOIN gone USING (rid, place) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (rid)
+"""
