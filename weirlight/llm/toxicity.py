@@ -6,8 +6,8 @@ training texts. A second bidirectional network reads windows of WINDOW words, on
 but those at the ends lies in two; attention pools each window, and a text is as toxic as its worst window.
 
 The network is fitted on at most TOXIC and OTHER labelled texts, in the order of a hash of doc_id, of those whose
-crc32(doc_id) modulo 4 is not 2, none longer than LONGEST characters; that bounds what the driver holds and what is
-shipped to the tasks. Word statistics of a training text come from the other folds. Scoring is one pass over all texts
+crc32(doc_id) modulo 4 is not 2, none longer than LONGEST characters; that bounds the one task that fits it and what is
+shipped to the others. Word statistics of a training text come from the other folds. Scoring is one pass over all texts
 without a shuffle.
 
 Defined cases: null and empty texts, and those without words, get the score of no evidence; a null doc_id stays null
@@ -17,6 +17,7 @@ labels of both kinds every score is 0; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -61,8 +62,10 @@ class Words:
         h = span_hashes(buf, b, e) if len(b) else np.zeros(0, np.uint64)
         distinct, first, number = np.unique(h, return_index=True, return_inverse=True)
         fb, fe = b[first], e[first]
-        place = fb[:, None] + np.arange(PIECE)
-        chars = np.where(place < fe[:, None], buf[np.minimum(place, len(buf) - 1)] if len(buf) else 0, 0).astype(np.uint8)
+        chars = np.zeros((len(fb), PIECE), np.uint8)
+        for i in range(PIECE):
+            own = np.flatnonzero(fb + i < fe)
+            chars[own, i] = buf[fb[own] + i]
         heads = [np.where(fe - fb > n, span_hashes(buf, fb, np.minimum(fb + n, fe)) if len(fb) else distinct, 0).astype(np.uint64) for n in BEGINNINGS]
         return cls([distinct, *heads], chars, (fe - fb).astype(np.int64), number, np.searchsorted(b, starts))
 
@@ -145,8 +148,8 @@ class Network:
         """Inputs of each distinct word; words of like length are worked through together."""
         chars = np.zeros((len(w.lengths), 2 * CHAR), np.float32)
         order = np.argsort(w.lengths, kind="stable")
-        for k in range(0, len(order), 8 * RUN):
-            own = order[k : k + 8 * RUN]
+        for k in range(0, len(order), 2 * RUN):
+            own = order[k : k + 2 * RUN]
             chars[own] = self.words(w.chars[own], w.lengths[own])[0]
         return np.concatenate([stats, chars], 1)
 
@@ -332,8 +335,23 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
         part = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     # at most TOXIC + OTHER rows of two numbers, so this side may be broadcast
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([utf8(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], np.float64), counts[1] / (counts[0] + counts[1]))
+    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rate = counts[1] / (counts[0] + counts[1])
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        model = fit([utf8(r[1]) for r in own], np.array([r[2] for r in own], np.float64), rate)
+        parts = model and (model.network.p, model.hashes, model.odds, model.scale)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], names=["model"])
+
+    # one task fits, on the bounded sample, so that the driver holds no more than the model
+    row = rows.select("doc_id", "text", F.col("toxic").cast("int")).coalesce(1).mapInArrow(fitting, "model binary").first()
+    parts = pickle.loads(row[0]) if row else None
+    if not parts:
+        return None
+    network = Network(len(parts[1]))
+    network.p = parts[0]
+    return Model(network, *parts[1:])
 
 
 def _scoring(model: Model | None) -> Callable[[list[str | None]], np.ndarray]:
