@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that spread over many sites; n_chars follows the text."""
-    out = line_dedup.without_boilerplate(docs)
+    """All documents, without the lines that spread over many sites; only what is nothing but such lines stays whole. n_chars follows the text."""
+    out = line_dedup.without_boilerplate(docs, share=1.0)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weirlight.llm import decontaminate, html_extract, line_dedup, near_dedup, neighbours, packing, secret_scan, substring_dedup, suffix_dedup, toxicity
 from weirlight.llm.common import utf8
 
@@ -181,6 +182,14 @@ def test_lines(spark, docs, empty):
     assert line_dedup.without_boilerplate(empty).count() == 0
 
 
+def test_pipeline_cuts_lines_whatever_their_share(spark):
+    header, footer = "a long header that all sites have", "a long footer that all sites have"
+    rows = [(k, f"{header}\nown {k}\n{footer}", f"site{k}") for k in range(12)] + [(50, f"{header}\n\n{footer}", "site1")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_boilerplate(spark, own, "").collect()}
+    assert got == {k: f"own {k}" for k in range(12)} | {50: f"{header}\n\n{footer}"}
+
+
 def test_decontamination(spark, docs, empty):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))

@@ -4,8 +4,9 @@ A line is what lies between two \\n, trimmed of space, tab and \\r; empty lines
 a HyperLogLog sketch of its sites, filled on the map side and merged by the aggregation, so a line that a third of all
 documents share costs one row per task. A line whose estimate is near the threshold (NEAR standard errors, half a site
 at least) gets an exact distinct count; one that is clearly above is boilerplate without it. Boilerplate lines are cut
-out, unless they are more than SHARE of a document's characters: such a document is a copy rather than a page with
-boilerplate, and it is left whole for the search of near duplicates.
+out, unless they are more than `share` of a document's characters. By OP3_SQL that is SHARE, so op3_line_dedup leaves
+whole what is mostly boilerplate; with a share of 1, as in the pipeline, only a document that is nothing but boilerplate
+is left whole, for the search of near duplicates.
 
 Defined cases: a null text has no lines and stays null, an empty one has one empty line; a null site is not counted; a
 null doc_id stays null; repeated rows are treated alike; each input row gives a row; an empty table gives none.
@@ -56,7 +57,8 @@ def _cut(text: str | None, places: list[int] | None, share: float) -> tuple[str
         return text, len(lines), 0
     gone = set(places)
     size = [len(x.strip(BLANK)) for x in lines]
-    if sum(size[i] for i in gone) > share * sum(size):
+    cut = sum(size[i] for i in gone)
+    if cut == sum(size) or cut > share * sum(size):
         return text, len(lines), 0
     return "\n".join([x for i, x in enumerate(lines) if i not in gone]), len(lines), len(gone)
 
