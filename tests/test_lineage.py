@@ -81,6 +81,15 @@ def test_resolution():
     assert resolve.resolve_text(None, names) == (None, True)
 
 
+def test_resolution_follows_long_chains_and_shadowed_names(spark):
+    chain = [("A", "${B}/a", "f1"), ("B", "${C}/b", "f2"), ("C", "${D}/c", "f3"), ("D", "${E}/d", "f4"), ("E", "${F}/e", "f5"), ("F", "/root", "f6")]
+    shadowed = [("BASE", "${ROOT}/in", "job"), ("BASE", "/tmp", "z"), ("ROOT", "/data", "y")]
+    symbols = spark.createDataFrame(chain + shadowed, "name string, value string, source_file string")
+    facts = spark.createDataFrame([("${A}/x", "g"), ("${BASE}/x", "job"), ("${BASE}/x", "other"), ("${B}${LOST}", "g")], "dataset_urn string, source_file string")
+    got = {(r["dataset_urn"], r["source_file"]): (r["resolved_path"], r["is_resolved"]) for r in resolve.resolved(facts, symbols).collect()}
+    assert got == {("${A}/x", "g"): ("/root/e/d/c/b/a/x", True), ("${BASE}/x", "job"): ("/data/in/x", True), ("${BASE}/x", "other"): ("/tmp/x", True), ("${B}${LOST}", "g"): ("/root/e/d/c/b${LOST}", False)}
+
+
 def test_sinks(spark, scanned, tmp_path):
     sinks.write_csv(scanned.nodes, scanned.edges, scanned.metrics, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv" / "nodes"), header=True).count() == scanned.nodes.count()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirlight.sources.storage import stored
+
 PASSES = 10
 DEFAULTED = re.compile(r"\$\{(\w+):-([^${}]*)\}")
 FORMS = (re.compile(r"\$\{(?:hivevar:|hiveconf:|env:|system:)?([\w.]+)\}"), re.compile(r"(?<!\$)\{([A-Za-z_][\w.]*)\}"), re.compile(r"\$([A-Za-z_]\w*)"))
@@ -78,12 +80,17 @@ def resolved(facts: DataFrame, symbols: DataFrame, column: str = "dataset_urn")
     open_ = own.where(has_open(F.col(column))).select("_row", "source_file", column).distinct()
     locals_ = symbols.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("own"))
     every = global_symbols(symbols)
-    # closure of the names: values may name further variables, PASSES deep at most; shallow in practice
-    wanted = open_.select("_row", F.explode(variables(F.col(column))).alias("name")).distinct()
-    closed = wanted
-    for _ in range(3):
-        more = closed.join(every, "name").select("_row", F.explode(variables(F.col("value"))).alias("name"))
-        closed = closed.unionByName(more).distinct()
+    # closure of the names: values may name further variables; a name has the file's own value or, failing that, the global one.
+    # A pass of resolve_text goes one level deeper with each of its forms, so names further away are never asked for.
+    near = symbols.where(F.coalesce("value", F.lit("")) != "").select("source_file", "name", F.col("value").alias("_near"))
+    closed = fresh = stored(open_.select("_row", "source_file", F.explode(variables(F.col(column))).alias("name")).distinct())
+    for _ in range(PASSES * (1 + len(FORMS))):
+        valued = fresh.join(near, ["source_file", "name"], "left").join(every, "name", "left").select("_row", "source_file", F.coalesce("_near", "value").alias("value"))
+        more = valued.where(has_open(F.col("value"))).select("_row", "source_file", F.explode(variables(F.col("value"))).alias("name")).distinct()
+        fresh = stored(more.join(closed, ["_row", "source_file", "name"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        closed = closed.unionByName(fresh)
     needed = closed.join(every, "name").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("others"))
     empty = F.create_map().cast("map<string,string>")
     ready = open_.join(locals_, "source_file", "left").join(needed, "_row", "left").select("_row", F.col(column).alias("_text"), F.coalesce("own", empty).alias("own"), F.coalesce("others", empty).alias("others"))
