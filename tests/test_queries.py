@@ -25,5 +25,13 @@ def test_matches_sql(spark, name):
     assert sorted(tuple(str(v) for v in r) for r in df.select(*sorted(df.columns)).collect()) == want
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_full_outer_join_has_every_row(spark):
+    test_matches_sql(spark, "shape_full_outer_join_whole")
+    got = registry.QUERIES["shape_full_outer_join_whole"](spark, str(DATA)).toPandas()
+    assert got.c_custkey.nunique() == spark.read.parquet(str(DATA / "customer.parquet")).count()
+    assert got.o_orderkey.nunique() == spark.read.parquet(str(DATA / "orders.parquet")).count()
+
+
 def test_every_sql_has_a_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)

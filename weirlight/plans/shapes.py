@@ -27,6 +27,13 @@ def shape_full_outer_join(spark, d):
     return both.join(table(spark, d, "nation"), F.col("n_nationkey") == F.coalesce("c_nationkey", "s_nationkey")).select("n_name", "c_custkey", "s_suppkey")
 
 
+@query("SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey")
+def shape_full_outer_join_whole(spark, d):
+    """Both tables whole, on a key that gives each order one row."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_orderkey")
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def shape_semi_join(spark, d):
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
