@@ -210,6 +210,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(own, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    items = {m: "quick brown fox jumps"[:m - 1] + "q" for m in range(8, 18)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    own = spark.createDataFrame([(m, f"some words {t}, and more of them") for m, t in items.items()], "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(own, bench).where("edits = 0").collect()}
+    assert got == {(m, m) for m in items}
+
+
 def test_alignment_is_the_least_edit_distance():
     def slow(a, b):
         row = [0] * (len(b) + 1)

@@ -10,9 +10,9 @@ aligned in that band, and the alignment decides.
 The benchmark is worked through in blocks of at most BLOCK_CHARS characters, each against all documents, so what a task
 holds is bounded whatever its size; nothing is shuffled.
 
-Defined cases: items without a Q-gram bound above zero (null, empty or very short) are never found; null and empty
-texts hold nothing; a null doc_id stays null; repeated rows are searched alike; equal items are all reported; an empty
-benchmark finds nothing.
+Defined cases: items without a Q-gram (null, empty or under Q characters) are never found; a document that quotes a part
+of an item holds it only if what is missing is within the edits; null and empty texts hold nothing; a null doc_id stays
+null; repeated rows are searched alike; equal items are all reported; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def qgrams(x: np.ndarray) -> np.ndarray:
 
 
 def budget(m: int, edits: float = EDITS) -> int:
-    return int(m * edits)
+    """Edits allowed for m characters: no more than leave the bound above zero, which for 8 to 15 characters are none."""
+    return min(int(m * edits), max(0, m // Q - 1))
 
 
 def bound(m: int, edits: float = EDITS) -> int:
