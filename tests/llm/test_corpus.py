@@ -165,6 +165,13 @@ def test_near_groups(docs, rows, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_groups_link_all_texts_of_a_doc_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, one), (7, one), (7, two), (9, two + " end"), (11, " ".join(f"c{i}" for i in range(40)))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(got, "doc_id", "component_id", "kept") == Counter([(5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False), (11, 11, True)])
+
+
 def test_lines(spark, docs, empty):
     shared = "cookies are used here"
     rows = [(k, f"own line {k} {'long ' * 20}\n  {shared}\t\nmore {k}", f"site{k % 12}") for k in range(40)] + [(99, shared, "site1"), (98, None, "site2"), (97, "", None), (96, f"x\n{shared}\n{'y' * 99}", None)]

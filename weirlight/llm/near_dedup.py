@@ -146,7 +146,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = banded.join(stars, "band").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
     pairs = stored(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_near("x", "y")).select("a", "b"))
-    edges, checked = stored(_confirmed(pairs, nodes, keyed)), pairs
+    # a doc_id that has several sets links their nodes; where doc_ids are unique there is none
+    several = linked.groupBy("owner").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo < hi").select("owner")
+    own = linked.select("owner", "h1", "h2").join(several, "owner", "left_semi").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).where("node != owner").select(F.col("owner").alias("a"), F.col("node").alias("b")).distinct()
+    edges, checked = stored(_confirmed(pairs, nodes, keyed).unionByName(own)), pairs
     while True:
         labels = components(edges)
         # members of bands that still reach over more than one component
