@@ -68,6 +68,12 @@ def test_closure_with_cycles(spark):
     assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "a"), ("b", "d"), ("c", "a"), ("c", "b"), ("c", "d"), ("x", "y")}
 
 
+def test_reach_goes_on_beyond_its_rounds(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n20", "n3"), ("n9", "n0"), ("n4", "side"), ("x", "n5")], "src string, dst string")
+    down = [r["urn"] for r in lineage.reachable(edges, "n0", most_rounds=2).collect()]
+    assert sorted(down) == sorted([f"n{i}" for i in range(1, 21)] + ["side"])
+
+
 def test_paths(spark):
     cases = {"/data//a/./b/../c/": "hdfs:///data/a/c", "s3://b//k/../j?x=1#f": "s3://b/j?x=1#f", "jdbc:oracle:thin:@h:1/x#T": "jdbc:oracle:thin:@h:1/x#T", "../up/x": "../up/x", "kafka://#{t}": "kafka://#{t}", "user@h:/p//q": "user@h:/p//q", "/": "/", "": ""}
     df = spark.createDataFrame([(k,) for k in cases], "u string").select("u", paths.canonical_path(F.col("u")).alias("c"))
