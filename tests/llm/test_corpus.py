@@ -174,27 +174,39 @@ def test_near_groups_link_all_texts_of_a_doc_id(spark):
 
 def test_lines(spark, docs, empty):
     shared = "cookies are used here"
-    rows = [(k, f"own line {k} {'long ' * 20}\n  {shared}\t\nmore {k}", f"site{k % 12}") for k in range(40)] + [(99, shared, "site1"), (98, None, "site2"), (97, "", None), (96, f"x\n{shared}\n{'y' * 99}", None)]
+    rows = [(k, f"own line {k} {'long ' * 20}\n  {shared}\t\nmore {k}", f"site{k % 12}") for k in range(40)] + [(99, shared, "site1"), (98, None, "site2"), (97, "", None), (96, f"x\n{shared}\n{'y' * 99}", None), (95, f"{shared}\n\n{shared}\nz", "site3")]
     own = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_lines_removed"]) for r in line_dedup.without_boilerplate(own).collect()}
-    for i, t, s in rows:
-        if i == 99:
-            assert got[i] == (shared, 1, 0)  # nothing but boilerplate: left whole
-        elif t and shared in t:
-            assert got[i] == ("\n".join(x for x in t.split("\n") if x.strip() != shared), 3, 1)
-        else:
-            assert got[i] == (t, 0 if t is None else 1, 0)
+    for spare in (False, True):
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_lines_removed"]) for r in line_dedup.without_boilerplate(own, spare_whole=spare).collect()}
+        for i, t, s in rows:
+            lines = [] if t is None else t.split("\n")
+            kept = [x for x in lines if x.strip() != shared]
+            if spare and not any(kept):
+                kept = lines  # nothing but boilerplate
+            assert got[i] == (None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept))
     out = line_dedup.without_boilerplate(docs)
     assert out.count() == docs.count() and out.columns[:-2] == docs.columns
     assert line_dedup.without_boilerplate(empty).count() == 0
 
 
+def test_lines_with_clashing_columns(spark):
+    rows = [(k, f"boiler plate\nown {k}", f"site{k}", 7, 8, 9) for k in range(12)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines long, n_lines_removed int, place int")
+    got = line_dedup.without_boilerplate(own)
+    assert got.columns == ["doc_id", "text", "source", "place", "n_lines", "n_lines_removed"]
+    assert bag(got, "text", "n_lines", "n_lines_removed") == Counter((f"own {k}", 2, 1) for k in range(12))
+    out = corpus_pipeline.cut_boilerplate(spark, own, "")
+    assert out.columns == own.columns and bag(out, "text", "n_lines", "n_lines_removed", "place") == Counter((f"own {k}", 7, 8, 9) for k in range(12))
+
+
 def test_pipeline_cuts_lines_whatever_their_share(spark):
     header, footer = "a long header that all sites have", "a long footer that all sites have"
     rows = [(k, f"{header}\nown {k}\n{footer}", f"site{k}") for k in range(12)] + [(50, f"{header}\n\n{footer}", "site1")]
     own = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_boilerplate(spark, own, "").collect()}
     assert got == {k: f"own {k}" for k in range(12)} | {50: f"{header}\n\n{footer}"}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.without_boilerplate(own).collect()}
+    assert left == {k: f"own {k}" for k in range(12)} | {50: ""}
 
 
 def test_decontamination(spark, docs, empty):

@@ -3,13 +3,13 @@
 A line is what lies between two \\n, trimmed of space, tab and \\r; empty lines are never boilerplate. Each line hash has
 a HyperLogLog sketch of its sites, filled on the map side and merged by the aggregation, so a line that a third of all
 documents share costs one row per task. A line whose estimate is near the threshold (NEAR standard errors, half a site
-at least) gets an exact distinct count; one that is clearly above is boilerplate without it. Boilerplate lines are cut
-out, unless they are more than `share` of a document's characters. By OP3_SQL that is SHARE, so op3_line_dedup leaves
-whole what is mostly boilerplate; with a share of 1, as in the pipeline, only a document that is nothing but boilerplate
-is left whole, for the search of near duplicates.
+at least) gets an exact distinct count; one that is clearly above is boilerplate without it. Every boilerplate line is
+cut out, whatever its share of the document; what was nothing but boilerplate is empty then. With spare_whole, as in the
+pipeline, such a document stays whole instead: it is a copy, and near dedup, which comes next, keeps one of its group.
 
 Defined cases: a null text has no lines and stays null, an empty one has one empty line; a null site is not counted; a
-null doc_id stays null; repeated rows are treated alike; each input row gives a row; an empty table gives none.
+null doc_id stays null; repeated rows are treated alike; each input row gives a row; an empty table gives none; extra
+columns stay, but for n_lines and n_lines_removed, which without_boilerplate gives its own values (cut_texts doesn't).
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from weirlight.llm.common import KEY, row_key, stored, table
 MIN_SITES = 10
 LG_K = 12
 NEAR = 4
-SHARE = 0.5
 BLANK = " \t\r"
 
 
@@ -48,7 +47,7 @@ def boilerplate(keyed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(F.col("sites") > min_sites + margin).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def _cut(text: str | None, places: list[int] | None, share: float) -> tuple[str | None, int, int]:
+def _cut(text: str | None, places: list[int] | None, spare_whole: bool) -> tuple[str | None, int, int]:
     """The text without the lines at these places, the number of its lines and of those cut."""
     if text is None:
         return None, 0, 0
@@ -56,28 +55,31 @@ def _cut(text: str | None, places: list[int] | None, share: float) -> tuple[str
     if not places:
         return text, len(lines), 0
     gone = set(places)
-    size = [len(x.strip(BLANK)) for x in lines]
-    cut = sum(size[i] for i in gone)
-    if cut == sum(size) or cut > share * sum(size):
+    if spare_whole and not any(x.strip(BLANK) for i, x in enumerate(lines) if i not in gone):
         return text, len(lines), 0
     return "\n".join([x for i, x in enumerate(lines) if i not in gone]), len(lines), len(gone)
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, share: float = SHARE) -> DataFrame:
-    """docs with text cut, and the columns n_lines and n_lines_removed."""
-    keyed = docs.select(*row_key(), F.col(site).alias("site"), "text")
+def cut_texts(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, spare_whole: bool = False) -> DataFrame:
+    """_row, a struct of docs' columns as they are; _cut, the text without boilerplate lines; _lines and _gone, the numbers of lines and of those cut."""
+    keyed = docs.select(*row_key(), F.col(f"`{site}`").alias("site"), "text")
     removed = _lines(keyed).join(boilerplate(keyed, min_sites), ["h1", "h2"], "left_semi").groupBy(*KEY).agg(F.collect_set("place").alias("_places"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key(), F.col("text").alias("_text"))
     joined = own.join(removed, KEY, "left").select("_row", "_text", "_places")
-    kinds = "_row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + ">, _cut string, n_lines long, n_lines_removed long"
+    kinds = "_row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + ">, _cut string, _lines long, _gone long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_cut(t, p, share) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=["_row", "_cut", "n_lines", "n_lines_removed"])
+            got = [_cut(t, p, spare_whole) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=["_row", "_cut", "_lines", "_gone"])
 
-    out = joined.mapInArrow(run, kinds)
-    return out.select(*[F.col("_cut").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "n_lines", "n_lines_removed")
+    return joined.mapInArrow(run, kinds)
+
+
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, spare_whole: bool = False) -> DataFrame:
+    """docs with text cut, and the columns n_lines and n_lines_removed in place of any that docs has."""
+    own = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
+    return cut_texts(docs, site, min_sites, spare_whole).select(*[F.col("_cut" if c == "text" else f"_row.`{c}`").alias(c) for c in own], F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_lines_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +95,8 @@ WITH lines AS (
 spread AS (SELECT bare FROM lines WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= {MIN_SITES}),
 marked AS (SELECT rid, doc_id, place, line, bare, bare IN (SELECT bare FROM spread) AS hit FROM lines),
 docs AS (
-  SELECT rid, doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS hits,
-         coalesce(sum(length(bare)) FILTER (hit), 0) > {SHARE} * sum(length(bare)) AS copied,
-         string_agg(line, chr(10) ORDER BY place) AS whole, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT hit), '') AS kept
+  SELECT rid, doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT hit), '') AS kept
   FROM marked GROUP BY rid, doc_id)
-SELECT doc_id, n_lines, CASE WHEN copied THEN 0 ELSE hits END AS n_removed, sha256(CASE WHEN copied THEN whole ELSE kept END) AS kept_sha256 FROM docs
+SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM docs
 UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """
