@@ -129,14 +129,70 @@ def test_suffixes(docs, rows, empty):
 
 
 @pytest.mark.parametrize("external", [False, True])
-def test_column_wise_construction(tmp_path, monkeypatch, external):
-    monkeypatch.setattr(suffix_dedup, "ROWS", 64)
+def test_column_wise_construction(tmp_path, external):
     r = random.Random(4)
-    base = "".join(r.choice("abc") for _ in range(300)).encode()
-    strings = [base[(a := r.randint(0, 200)) : a + r.randint(5, 90)] for _ in range(30)] + [b"", b"a"]
-    count = Counter(s[i : i + 30] for s in strings for i in range(len(s) - 29))
-    got = suffix_dedup.repeated_windows(strings, 30, str(tmp_path) if external else None)
-    assert sorted(zip(*map(list, got))) == sorted((k, i) for k, s in enumerate(strings) for i in range(len(s) - 29) if count[s[i : i + 30]] > 1)
+    for seed in range(12):
+        base = "".join(r.choice("abc") for _ in range(120)).encode()
+        strings, anchors, bucket = [], [], []
+        for k in range(60):
+            spot = r.randint(30, 60)
+            a, b = r.randint(0, spot), r.randint(spot, 110) + 5
+            own = bytearray(base[a:b])
+            for _ in range(r.choice([0, 0, 1, 2])):
+                own[r.randrange(len(own))] = r.choice(b"abc\xc3")
+            strings.append(bytes(own))
+            anchors.append(spot - a)
+            bucket.append(k // 20 % 2 if seed % 2 else 7)
+        order = np.argsort(bucket, kind="stable")
+        strings, anchors, bucket = [strings[i] for i in order], np.array(anchors)[order], np.array(bucket)[order]
+        places = [(k, i) for k, s in enumerate(strings) for i in range(len(s) - 29) if i <= anchors[k] < i + 30]
+        key = lambda k, i: (bucket[k], i - anchors[k], strings[k][i : i + 30])
+        count = Counter(key(*x) for x in places)
+        got = suffix_dedup.repeated_windows(strings, anchors, bucket, 30, f"file://{tmp_path}" if external else None)
+        got = [(k, i) for k, i in zip(*map(list, got)) if i <= anchors[k] < i + 30]
+        assert got == [x for x in places if count[key(*x)] > 1]
+        assert not list(tmp_path.iterdir())
+
+
+def test_transform_decides_every_repeat(docs, monkeypatch):
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda *a: nothing)
+    assert suffix_dedup.dedup_suffixes(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def adversary():
+    """Two different words of 2,048 bytes that polynomial hashes modulo 2**64 take for equal."""
+    w = b"a"
+    while len(w) < 2048:
+        w += w.translate(bytes.maketrans(b"ab", b"ba"))
+    return w.decode(), w.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_words_that_polynomial_hashes_take_for_equal(spark):
+    x, y = adversary()
+    rest = " ".join(f"w{i}" for i in range(12))
+    own = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"{x} {rest}")], "doc_id long, text string").coalesce(1)
+    assert bag(substring_dedup.dedup_substrings(own), "doc_id", "n_removed") == Counter([(1, 0), (2, 0), (3, 13)])
+    pair = spark.createDataFrame([(1, f"{x} a"), (2, f"{y} a")], "doc_id long, text string")
+    assert bag(near_dedup.near_groups(pair), "doc_id", "component_id") == Counter([(1, 1), (2, 2)])
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_hot_buckets_are_counted_by_digest(docs, words):
+    from weirlight.llm import superkmers
+    from weirlight.llm.common import row_key
+
+    rule, exact = (substring_dedup.RULE, substring_dedup.sorted_windows) if words else (suffix_dedup.RULE, suffix_dedup._exact(None))
+    keyed = docs.select(*row_key(), "doc_id", "text")
+
+    def places(hot):
+        out = set()
+        for r in superkmers.removed_spans(keyed, rule, exact, hot).collect():
+            for s in r["spans"]:
+                out |= {(r["owner"], r["text_key"], s["start"] + k) for k in range(s["windows"])}
+        return out
+
+    assert places(1) == places(2) == places(10**6) != set()
 
 
 def test_near_groups(docs, rows, empty):

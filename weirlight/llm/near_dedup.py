@@ -1,11 +1,11 @@
 """Near duplicates by MinHash bands, odd sketches and full shingle sets.
 
 A document's set is that of its distinct 2-word shingles (A-Z lower-cased, words without \\x20 and \\x09-\\x0D); with
-fewer words the whole sequence is the only shingle. Equal sets are one node, whose number is their smallest doc_id.
+fewer words the whole sequence is the only shingle. Equal sets (by a 128-bit digest) are one node, whose number is their smallest doc_id.
 PERMUTATIONS minima of the set make BANDS bands of ROWS_IN_BAND; nodes that share a band are candidates. At the
 threshold of 0.75 a pair shares no band with a chance of 1e-7. An odd sketch folds the minima into ODD_BITS parity
 bits; the population count of two sketches' XOR estimates how many minima differ, and pairs above ODD_MOST (six
-standard deviations beyond the threshold's mean) are dropped. All others are confirmed on their full sets.
+standard deviations beyond the threshold's mean) are dropped. All others are confirmed on their full sets, word for word.
 
 Not all pairs of a band are made. First every node is held against the smallest node of each of its bands, which links
 most groups. Then only pairs of one band in different components are left to be held against each other, as often as
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlight.llm.common import KEY, joined, mixed, pieces, row_key, span_hashes, stored, table, utf8, word_spans
+from weirlight.llm.common import KEY, joined, mixed, pieces, row_key, stored, table, utf8, word_hashes, word_spans
 from weirlight.llm.graph import components
 
 THRESHOLD = 75
@@ -43,7 +43,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, sorted, one text after the other; and their numbers."""
     buf, starts = joined([t.lower() for t in texts])
     b, e = word_spans(buf)
-    h = span_hashes(buf, b, e)
+    h = word_hashes(buf, b, e)
     at = np.searchsorted(b, starts)
     n_words = np.diff(at)
     pair = mixed(h[:-1] * np.uint64(3) + mixed(h[1:])) if len(h) else h
@@ -106,12 +106,24 @@ def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(WORDS_OF_SKETCH)], names=names)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingles(text: str | None) -> frozenset[tuple[bytes, ...]]:
+    """The set itself, as tuples of words."""
+    words = utf8(text).lower().split()
+    return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset([tuple(words)]) - {()}
+
+
+def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, x, y) with two texts those whose full sets reach the threshold; rows of one b mostly come together."""
+    last, own = None, frozenset()
     for batch in batches:
-        texts = [utf8(t) for t in batch.column(1).to_pylist()]
-        for b, e in pieces(texts, 4 * CHUNK):
-            x, sizes = shingle_sets(texts[b:e])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), pa.ListArray.from_arrays(np.cumsum(np.r_[0, sizes]).astype(np.int32), pa.array(x.view(np.int64)))], names=["node", "shingles"])
+        keep = []
+        for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if b != last:
+                last, own = b, shingles(y.as_py())
+            other = shingles(x.as_py())
+            both = len(own & other)
+            keep.append(both * 100 >= (len(own) + len(other) - both) * THRESHOLD)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _near(a: str, b: str) -> Column:
@@ -125,11 +137,10 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFram
     """The pairs (a, b) whose full sets reach the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node").select(F.col("node").alias("owner"), "text_key")
     texts = keyed.select(*KEY, "text").join(wanted, KEY).groupBy(*KEY).agg(F.first("text").alias("text"))
-    sets = texts.select("owner", "text").mapInArrow(_sets, "node long, shingles array<long>").repartition("node")
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * THRESHOLD).select("a", "b")
+    texts = texts.select(F.col("owner").alias("node"), "text").repartition("node")
+    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_reaching, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

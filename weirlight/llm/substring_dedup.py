@@ -1,8 +1,8 @@
 """Windows of 13 words that a document with a smaller doc_id has too: their words are removed.
 
 Words are the runs without \\x20 and \\x09-\\x0D, unchanged. Super-k-mers (see superkmers) bring equal windows to one
-bucket, where the windows of the packed strings are sorted as rows of word numbers and the smallest doc_id of each is
-found exactly. Windows are judged on the input, not on what is left.
+bucket, where the windows of the packed strings are sorted as rows of word numbers, one number for each word's bytes, and
+the smallest doc_id of each is found exactly. Windows are judged on the input, not on what is left.
 
 Defined cases: a null or empty text has no words and keeps none; a null doc_id stays null and counts as larger than
 every other, so that it never removes from others; rows that share doc_id and text remove nothing from each other;
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlight.llm.common import KEY, row_key, table, utf8
-from weirlight.llm.superkmers import Rule, removed_spans, whole_buckets
+from weirlight.llm.superkmers import Rule, removed_spans, repeated, whole_buckets, with_twins
 
 WINDOW, GRAM = 13, 4
 RULE = Rule(words=True, window=WINDOW, gram=GRAM, smaller=True)
@@ -28,24 +28,29 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of each bucket, sorted; those whose words also lie in a smaller doc_id come out."""
+    """Windows of each bucket, sorted; those whose words also lie in a smaller doc_id come out, for a row and its twins."""
     for rows in whole_buckets(batches, 4 << 20):
-        doc, key, start, windows = (rows.column(c).to_numpy() for c in ("owner", "text_key", "start", "windows"))
+        doc, windows = rows.column("owner").to_numpy(), rows.column("windows").to_numpy()
         numbers: dict[bytes, int] = {}
         ids = np.array([numbers.setdefault(w, len(numbers)) for t in rows.column("packed").to_pylist() for w in t.split(b" ")], np.int32)
         at = np.cumsum(windows + WINDOW - 1) - (windows + WINDOW - 1)
-        row = np.repeat(np.arange(len(doc)), windows)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin = at[row] + within
-        content = np.ascontiguousarray(ids[begin[:, None] + np.arange(WINDOW)]).view(np.dtype((np.void, 4 * WINDOW))).ravel()
+        row, within = repeated(windows)
+        content = np.ascontiguousarray(ids[(at[row] + within)[:, None] + np.arange(WINDOW)]).view(np.dtype((np.void, 4 * WINDOW))).ravel()
         order = np.argsort(content, kind="stable")
         content, row, within = content[order], row[order], within[order]
         head = np.flatnonzero(np.r_[True, content[1:] != content[:-1]])
-        least = np.repeat(np.minimum.reduceat(doc[row], head), np.diff(np.r_[head, len(row)]))
-        hit = doc[row] > least
-        if hit.any():
-            r = row[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(key[r]), pa.array((start[r] + within[hit]).astype(np.int32)), pa.array(np.ones(len(r), np.int32))], names=["owner", "text_key", "start", "windows"])
+        size = np.diff(np.r_[head, len(row)])
+        least = np.repeat(np.minimum.reduceat(doc[row], head), size)  # a row has the smallest owner of its twins
+        wanted = (doc[row] > least) | np.r_[False, rows.column("twins").chunk(0).value_lengths().to_numpy() > 0][row + 1]
+        row, within, least = row[wanted], within[wanted], least[wanted]
+        if not len(row):
+            continue
+        order = np.lexsort((within, least, row))  # neighbouring windows with one smallest owner are one span
+        row, within, least = row[order], within[order], least[order]
+        head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | (within[1:] != within[:-1] + 1)])
+        spans = with_twins(rows, row[head], within[head], np.diff(np.r_[head, len(row)]), least[head])
+        if len(spans):
+            yield spans
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

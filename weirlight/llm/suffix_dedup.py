@@ -1,12 +1,16 @@
 """Bytes covered by a 200-byte string that also starts anywhere else are removed.
 
-Segments of bytes that share a minimiser meet in a bucket (see superkmers). There they are cut into short runs of windows
-around longer anchors; runs alone with their anchor go, equal ones are settled. The suffixes of the others are sorted by column-wise construction of the collection's Burrows-Wheeler transform: each round puts
-one more symbol of every string in front of its suffix, finds the new suffix's row from the rank of that symbol in the
-transform so far, and merges the new rows into the sequential files of the transform, of the suffixes and of the common
-prefixes. A common prefix of 200 bytes with either neighbour marks a window. Runs are at most 219 bytes long, so
-there are as many rounds. The files are arrays in memory up to EXTERNAL bytes of strings and lie in the shared folder
-beyond, where it is one that the system mounts.
+Segments of bytes that share a minimiser, the anchor, meet in a bucket (see superkmers); equal 200-byte strings lie at
+the same distance from it. So symbols are tagged by their distance from the anchor, and the Burrows-Wheeler transform
+of a collection of segments over tagged symbols is built column by column: each round puts one more symbol of every
+segment in front of its suffix. Because of the tags all suffixes of a round stand together in the transform, so a round
+is a block appended to three sequential files, which hold the symbol before each suffix, the suffix's segment, and its
+common prefix with the suffix above. The order of a block follows from the symbols and the order of the block before it,
+its common prefixes from those of that block. When all columns are in, the files are read from first to last: a common
+prefix of 200 symbols with either neighbour marks a window. A row that stands for equal segments goes in twice.
+
+The files lie in the shared folder where that is a file system that pyarrow opens, else in memory; a task works on a few
+whole buckets at a time, so that they are some 100 MB at most, and removes them.
 
 Texts are UTF-8 bytes; matches never cross documents; strings are judged on the input, not on what is left.
 
@@ -17,227 +21,165 @@ strings start elsewhere too; each input row gives a row; an empty table gives no
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlight.llm.common import INVERSE, KEY, joined, mixed, powers, row_key, shared_dir, span_hashes, table, utf8
-from weirlight.llm.superkmers import Rule, removed_spans, whole_buckets
+from weirlight.llm.common import KEY, row_key, shared_dir, table, utf8
+from weirlight.llm.superkmers import Rule, removed_spans, whole_buckets, with_twins
 
-LENGTH, GRAM, STEP = 200, 40, 20
+LENGTH, GRAM = 200, 40
 RULE = Rule(words=False, window=LENGTH, gram=GRAM, smaller=False)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-EXTERNAL = 64 << 20
-ROWS = 1 << 22
-COLUMNS = {"bwt": np.uint8, "suffix": np.int32, "common": np.uint8}
+CHUNK, PRUNE = 8 << 20, 8
+COLUMNS = {"bwt": np.uint8, "row": np.int32, "common": np.uint8}
 
 
-class Rows:
-    """The rows so far, read and written from first to last: one array each, or one file each in a folder."""
+class Blocks:
+    """The transform's rows: a block for each column, appended and then read from first to last, in a file for each of COLUMNS or in memory."""
 
     def __init__(self, folder: str | None):
-        self.folder, self.blocks, self.turn = folder, [], 0
+        self.sizes: list[int] = []
+        self.kept: dict[str, list[np.ndarray]] = {c: [] for c in COLUMNS}
+        self.files: fs.FileSystem | None = None
+        if folder is not None:
+            self.files, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+            self.at = f"{at}/rows-{uuid.uuid4().hex}"
+            self.files.create_dir(self.at, recursive=True)
+            self.open = {c: self.files.open_output_stream(f"{self.at}/{c}", compression=None, buffer_size=1 << 20) for c in COLUMNS}
+
+    def append(self, **parts: np.ndarray) -> None:
+        self.sizes.append(len(parts["row"]))
+        for c, kind in COLUMNS.items():
+            part = np.ascontiguousarray(parts[c], kind)
+            if self.files is None:
+                self.kept[c].append(part)
+            else:
+                self.open[c].write(part)
 
     def read(self) -> Iterator[dict[str, np.ndarray]]:
-        if self.folder is None:
-            yield from self.blocks
+        if self.files is None:
+            for i in range(len(self.sizes)):
+                yield {c: self.kept[c][i] for c in COLUMNS}
             return
-        files = {c: open(f"{self.folder}/{c}.{self.turn}", "rb") for c in COLUMNS}
-        while len((part := {c: np.fromfile(f, COLUMNS[c], ROWS) for c, f in files.items()})["bwt"]):
-            yield part
-        for f in files.values():
+        for f in self.open.values():
             f.close()
-
-    def write(self, parts: Iterator[dict[str, np.ndarray]]) -> None:
-        if self.folder is None:
-            self.blocks = list(parts)
-            return
-        files = {c: open(f"{self.folder}/{c}.{self.turn + 1}", "wb") for c in COLUMNS}
-        for part in parts:
-            for c, f in files.items():
-                part[c].tofile(f)
-        for c, f in files.items():
-            f.close()
-            if os.path.exists(old := f"{self.folder}/{c}.{self.turn}"):
-                os.remove(old)
-        self.turn += 1
-
-
-def common_prefix(text: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, at most `most`; eight bytes are compared at a time."""
-    words = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
-    bound = np.minimum(np.minimum(left[a], left[b]), most).astype(np.int64)
-    out, at = bound.copy(), np.arange(len(a))
-    for w in range(0, most, 8):
-        x = words[a[at] + w] ^ words[b[at] + w]
-        odd = x != 0
-        if odd.any():
-            low = x[odd] & (~x[odd] + np.uint64(1))
-            same = (np.frexp(low.astype(np.float64))[1] - 1) // 8
-            out[at[odd]] = np.minimum(bound[at[odd]], w + same)
-        at = at[~odd & (bound[at] > w + 8)]
-        if not len(at):
-            break
-    return out
-
-
-def repeated_windows(strings: list[bytes], length: int = LENGTH, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """String number and place of every window of `length` bytes that starts at two places or more of the collection."""
+        self.open = {c: self.files.open_input_stream(f"{self.at}/{c}", compression=None, buffer_size=1 << 20) for c in COLUMNS}
+        for n in self.sizes:
+            yield {c: np.frombuffer(self.open[c].read(n * np.dtype(kind).itemsize), kind) for c, kind in COLUMNS.items()}
+
+    def close(self) -> None:
+        if self.files is not None:
+            for f in self.open.values():
+                f.close()
+            self.files.delete_dir(self.at)
+
+
+def openable(folder: str) -> str | None:
+    """The folder, if pyarrow opens its file system."""
+    if "://" not in folder:
+        return folder.removeprefix("file:") if folder.startswith(("/", "file:/")) else None
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+    return folder
+
+
+def repeated_windows(strings: list[bytes], anchors: np.ndarray, bucket: np.ndarray, length: int = LENGTH, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """String number and place of every window of `length` bytes that another string of its bucket, or a copy of it in the list, has at the same distance from the anchor. Buckets stand together."""
     m = len(strings)
     sizes = np.fromiter(map(len, strings), np.int64, m)
-    ends = np.cumsum(sizes + 1) - 1
-    text = np.zeros(int(ends[-1]) + 1 + length + 8 if m else 0, np.uint8)
-    left = np.zeros(len(text), np.int32)
-    if not m:
+    if not m or sizes.max() < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    body = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    inside = np.ones(len(body), bool)
-    inside[ends] = False
-    text[: len(body)][inside] = body[inside] + 1  # 0 ends a string; no byte of UTF-8 is above 0xF4
-    left[: len(body)] = np.repeat(ends, sizes + 1) - np.arange(len(body))
-    rows = Rows(folder)
-    rows.write(iter([{"bwt": np.where(sizes > 0, text[np.maximum(ends - 1, 0)], 0).astype(np.uint8), "suffix": ends.astype(np.int32), "common": np.zeros(m, np.uint8)}]))
-    active, place = np.arange(m), np.arange(m)
-    for j in range(1, int(sizes.max()) + 1):
-        keep = sizes[active] >= j
-        active, place = active[keep], place[keep]  # place: row of each suffix of j - 1 bytes, in order
-        symbol = text[ends[active] - j].astype(np.int64)
-        rank, seen, r0 = np.zeros(len(active), np.int64), np.zeros(257, np.int64), 0
-        for part in rows.read():
-            bwt = part["bwt"]
-            lo, hi = np.searchsorted(place, [r0, r0 + len(bwt)])
-            order = np.argsort(bwt, kind="stable")
-            counts = np.bincount(bwt, minlength=257)
-            within = np.empty(len(bwt), np.int64)
-            within[order] = np.arange(len(bwt)) - np.repeat(np.cumsum(counts) - counts, counts)
-            rank[lo:hi] = seen[symbol[lo:hi]] + within[place[lo:hi] - r0]
-            seen += counts
-            r0 += len(bwt)
-        seen[0] = m  # the empty suffixes come first
-        target = (np.cumsum(seen) - seen)[symbol] + rank
-        order = np.argsort(target)
-        active, target = active[order], target[order]
-        starts = ends[active] - j
-        before = np.where(sizes[active] > j, text[np.maximum(starts - 1, 0)], 0).astype(np.uint8)
-        rows.write(_merged(rows, text, left, target, starts, before, length))
-        place = target
-    hits = []
-    previous = None
-    for part in rows.read():
-        hit = part["common"] >= length
-        hits += [part["suffix"][hit | np.r_[hit[1:], False]]]
-        if previous is not None and hit[0]:
-            hits.append(np.array([previous]))
-        previous = part["suffix"][-1]
-    at = np.unique(np.concatenate(hits)).astype(np.int64)
-    string = np.searchsorted(ends, at, "left")
-    return string, at - (ends[string] - sizes[string])
-
-
-def _merged(rows: Rows, text: np.ndarray, left: np.ndarray, target: np.ndarray, starts: np.ndarray, before: np.ndarray, length: int) -> Iterator[dict[str, np.ndarray]]:
-    """The rows with new ones put in at `target`; common prefixes are renewed at each new row and the row after it."""
-    gap = target - np.arange(len(target))  # old rows before each new one
-    r0, previous, parts = 0, None, rows.read()
-    part = next(parts)
-    while part is not None:
-        following = next(parts, None)
-        n = len(part["bwt"])
-        lo, hi = np.searchsorted(gap, r0), len(gap) if following is None else np.searchsorted(gap, r0 + n)
-        local = gap[lo:hi] - r0
-        suffix = np.insert(part["suffix"], local, starts[lo:hi].astype(np.int32))
-        common = np.insert(part["common"], local, 0)
-        new = local + np.arange(hi - lo)
-        again = np.union1d(new, new + 1)
-        again = np.union1d(again, [0]) if r0 else again
-        again = again[again < len(suffix)].astype(np.int64)
-        above = np.where(again > 0, suffix[again - 1], -1 if previous is None else previous).astype(np.int64)
-        known = above >= 0
-        common[again[known]] = common_prefix(text, left, above[known], suffix[again[known]].astype(np.int64), length)
-        previous = suffix[-1]
-        yield {"bwt": np.insert(part["bwt"], local, before[lo:hi]), "suffix": suffix, "common": common}
-        r0, part = r0 + n, following
-
-
-def refined(strings: list[bytes], windows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Cuts the windows of each segment into runs of at most STEP whose minimisers lie in the same range of places.
-
-    All windows of such a run contain the same LENGTH - STEP + 1 bytes around the minimiser, the anchor. Runs whose
-    anchor no other run has are dropped; equal runs settle each other; of those that share an anchor but differ, one of
-    each content is left. Returns string number, first window, windows, and whether the run is settled, of the others.
-    """
-    buf, starts = joined(strings)
-    starts = starts[:-1]
-    gram = span_hash_grams(buf, GRAM)
-    reach = LENGTH - GRAM + 1
-    spot = np.full(len(strings), -1, np.int64)
-    for k in range(reach):  # the leftmost place where the gram is the bucket's, among those that all windows hold
-        open_ = np.flatnonzero((spot < 0) & (windows - 1 <= k))
-        hit = open_[gram[starts[open_] + k] == bucket[open_]]
-        spot[hit] = k
-    low, high = (spot - windows + 1) // STEP, spot // STEP
-    n = high - low + 1
-    row = np.repeat(np.arange(len(strings)), n)
-    r = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    first = np.maximum(spot[row] - (r + 1) * STEP + 1, 0)
-    last = np.minimum(spot[row] - r * STEP, windows[row] - 1)
-    at = starts[row] + spot[row]
-    anchor = mixed(span_hashes(buf, at - r * STEP, at - (r + 1) * STEP + 1 + LENGTH) ^ mixed(bucket[row] + r.astype(np.uint64)))
-    content = mixed(span_hashes(buf, starts[row] + first, starts[row] + last + LENGTH) + (first - spot[row]).astype(np.uint64))
-    order = np.lexsort((content, anchor))
-    row, first, last, anchor, content = (x[order] for x in (row, first, last, anchor, content))
-    new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-    new = new_anchor | np.r_[True, content[1:] != content[:-1]]
-    head = np.flatnonzero(new)
-    size = np.repeat(np.diff(np.r_[head, len(row)]), np.diff(np.r_[head, len(row)]))
-    b = np.cumsum(new_anchor) - 1
-    contents = np.bincount(b[head])[b]
-    settled, left = size > 1, new & (contents > 1)
-    keep = settled | left
-    return row[keep], first[keep], (last - first + 1)[keep], settled[keep], left[keep]
-
-
-def span_hash_grams(buf: np.ndarray, gram: int) -> np.ndarray:
-    """The hash by which segments pick their minimisers, at each place where a gram begins."""
-    u = buf.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(len(u) + 1, np.uint64)
-    np.cumsum(u * powers(len(u)), out=h[1:])
-    out = np.zeros(len(u), np.uint64)
-    if len(u) >= gram:
-        out[: len(u) - gram + 1] = mixed((h[gram:] - h[:-gram]) * powers(len(u) + 1, INVERSE)[: len(u) - gram + 1])
-    return out
+    # a byte of UTF-8 is never 0xFF, so byte + 1 leaves 0 for what stands before a string
+    text = np.frombuffer(bytes(PRUNE) + b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)
+    text[:PRUNE] = 0
+    base = np.cumsum(sizes + 1) - sizes - 1 + PRUNE
+    anchor = (base + anchors).astype(np.int64)
+    before, behind = anchors.astype(np.int64), sizes - anchors
+    group = np.cumsum(np.r_[0, bucket[1:] != bucket[:-1]]).astype(np.int64)
+    entry = np.argsort(-behind, kind="stable")
+    enters = behind[entry]
+    blocks = Blocks(folder)
+    try:
+        row, common = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, columns = 0, []
+        for c in range(int(behind.max()) - 1, -int(before.max()) - 1, -1):
+            stop = int(np.searchsorted(-enters, -(c + 1), "right"))
+            if stop > at:  # strings that end here: empty suffixes, first of their buckets
+                new = entry[at:stop]
+                new = new[np.argsort(group[new], kind="stable")]
+                place = np.searchsorted(group[row], group[new], "left")
+                row, common = np.insert(row, place, new), np.insert(common, place, 0)
+                at = stop
+            if not len(row):
+                continue
+            symbol = text[anchor[row] + c]
+            own = group[row]
+            key = own << 8 | symbol
+            fall = np.flatnonzero((key[1:] < key[:-1]) & (own[1:] == own[:-1]))
+            same = np.r_[False, key[1:] == key[:-1]]
+            if len(fall):
+                # only buckets whose symbols are out of order are sorted anew
+                loose = np.zeros(int(own[-1]) + 1, bool)
+                loose[own[fall]] = True
+                part = np.flatnonzero(loose[own])
+                moved = part[np.argsort(key[part], kind="stable")]
+                order = np.arange(len(row))
+                order[part] = moved
+                key = key[order]
+                same = np.r_[False, key[1:] == key[:-1]]
+                above = np.r_[0, order[:-1]]
+                joined = common[order]
+                far = np.flatnonzero(same & (order != above + 1))
+                if len(far):  # rows that were apart: the least common prefix between them
+                    edges = np.stack([above[far] + 1, order[far] + 1], 1).ravel()
+                    joined[far] = np.minimum.reduceat(np.r_[common, 0], edges)[::2]
+                row, common, symbol = row[order], joined, symbol[order]
+            common = np.where(same, np.minimum(common + 1, 255), 0)
+            blocks.append(bwt=symbol, row=row, common=common)
+            columns.append(c)
+            if c <= 0 and c % PRUNE == 0:
+                # what has no symbols left goes, and what can't reach `length` by those it has
+                kept = c > -before[row]
+                if c < length - int(before.max()):
+                    kept &= np.maximum(common, np.r_[common[1:], 0]) + c + before[row] >= length
+                kept = np.flatnonzero(kept)
+                if len(kept) < len(row):
+                    common = np.minimum.reduceat(common[: kept[-1] + 1], np.r_[0, kept[:-1] + 1]) if len(kept) else common[:0]
+                    row = row[kept]
+        strings_, places = [], []
+        for c, block in zip(columns, blocks.read()):
+            hit = block["common"] >= length
+            hit = hit | np.r_[hit[1:], False]
+            own = block["row"][hit].astype(np.int64)
+            own = own[c >= -before[own]]
+            strings_.append(own)
+            places.append(before[own] + c)
+    finally:
+        blocks.close()
+    string, place = np.concatenate(strings_), np.concatenate(places)
+    order = np.lexsort((place, string))
+    return string[order], place[order]
 
 
 def _exact(folder: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_buckets(batches, 4 << 20):
-            strings = rows.column("packed").to_pylist()
-            owner, key, start, windows, bucket = (rows.column(c).to_numpy() for c in ("owner", "text_key", "start", "windows", "bucket"))
-
-            def spans(string: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(owner[string]), pa.array(key[string]), pa.array((start[string] + at).astype(np.int32)), pa.array(n.astype(np.int32))], names=["owner", "text_key", "start", "windows"])
-
-            row, first, n, settled, left = refined(strings, windows.astype(np.int64), bucket.view(np.uint64))
-            if settled.any():
-                yield spans(row[settled], first[settled], n[settled])
-            row, first, n = row[left], first[left], n[left]
-            runs = [strings[i][f : f + k + LENGTH - 1] for i, f, k in zip(row.tolist(), first.tolist(), n.tolist())]
-            own = None
-            if folder is not None and sum(map(len, runs)) > EXTERNAL:
-                own = f"{folder}/rows-{uuid.uuid4().hex}"
-                os.makedirs(own)
-            try:
-                string, at = repeated_windows(runs, LENGTH, own)
-            finally:
-                if own:
-                    shutil.rmtree(own, ignore_errors=True)
+        for rows in whole_buckets(batches, CHUNK):
+            copies = 1 + (rows.column("twins").chunk(0).value_lengths().to_numpy() > 0)
+            row = np.repeat(np.arange(len(rows)), copies)
+            packed = rows.column("packed").to_pylist()
+            string, at = repeated_windows([packed[i] for i in row.tolist()], rows.column("spot").to_numpy()[row], rows.column("bucket").to_numpy()[row], LENGTH, folder)
+            first = np.r_[True, row[1:] != row[:-1]][string]  # of the two of a row with twins one tells enough
+            string, at = row[string[first]], at[first]
             if len(string):
                 head = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (at[1:] != at[:-1] + 1)])
-                yield spans(row[string[head]], first[string[head]] + at[head], np.diff(np.r_[head, len(at)]))
+                yield with_twins(rows, string[head], at[head], np.diff(np.r_[head, len(at)]))
 
     return run
 
@@ -262,18 +204,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def mounted(spark: SparkSession) -> str | None:
-    """The shared folder as a path of the system, if it is one."""
-    at = shared_dir(spark)
-    at = at.removeprefix("file://").removeprefix("file:")
-    return at if at.startswith("/") and "://" not in at else None
-
-
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     keyed = docs.select(*row_key(), "doc_id", "text")
-    spans = removed_spans(keyed, RULE, _exact(mounted(docs.sparkSession)))
+    spans = removed_spans(keyed, RULE, _exact(openable(shared_dir(docs.sparkSession))))
     return keyed.repartition(*KEY).join(spans, KEY, "left").select("doc_id", "text", "spans").mapInArrow(_kept, SCHEMA)
 
 
