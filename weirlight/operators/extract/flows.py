@@ -74,7 +74,7 @@ def nifi(content: str, as_of: str | None = None) -> list[dict[str, Any]]:
             got = dataset_of(kind.rsplit(".", 1)[-1], properties)
             way = "WRITE" if WRITERS.search("." + kind.rsplit(".", 1)[-1]) else "READ" if READERS.search("." + kind.rsplit(".", 1)[-1]) else None
             if got and way and not (way == "WRITE" and got[1] == "http") and not (way == "READ" and got[1] == "elasticsearch"):
-                out.append(fact(way, line(f'"{p.get("identifier")}"'), 0.75, "JSON_PARSE", got[0], got[1], f"{p.get('name')} ({kind})", {"processor": p.get("name"), "type": kind}))
+                out.append(fact(way, line_of(content, at.start() if (at := re.search(rf'"identifier"\s*:\s*"{re.escape(str(p.get("identifier")))}"', content)) else 0), 0.75, "JSON_PARSE", got[0], got[1], f"{p.get('name')} ({kind})", {"processor": p.get("name"), "type": kind}))
     return out
 
 
@@ -92,8 +92,9 @@ def flat(x: Any, prefix: str = "", listed: bool = False) -> Iterator[tuple[str,
 def _flat_facts(x: Any, content: str, source: str) -> list[dict[str, Any]]:
     out = []
     for k, v, c in flat(x) if isinstance(x, dict) else ():
-        at = content.find(re.sub(r"\[\d+\]$", "", k).rsplit(".", 1)[-1])
-        out.append(config(k, v, line_of(content, max(at, 0)), c, "JSON_PARSE", source))
+        own = re.escape(re.sub(r"(\[\d+\])+$", "", k).rsplit(".", 1)[-1])
+        at = re.search(rf"""(?:^|[\s{{\[,-])(["']?){own}\1\s*:""", content)
+        out.append(config(k, v, line_of(content, at.start(1) if at else 0), c, "JSON_PARSE", source))
     return out
 
 

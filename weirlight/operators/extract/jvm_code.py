@@ -12,6 +12,7 @@ from weirlight.operators.extract.sql_code import sql_facts
 LITERAL = r'(?:s|f|raw)?"""(?:.*?)"""|(?:s|f)?"(?:[^"\\\n]|\\.)*"'
 ARGUMENT = rf"({LITERAL}|[A-Za-z_][\w.]*)((?:\s*\+\s*(?:{LITERAL}|[A-Za-z_][\w.]*))*)"
 VALUE = re.compile(rf"\b(?:val|var|(?:(?:public|private|protected|static|final)\s+)*String)\s+(\w+)\s*(?::\s*String\s*)?=\s*(?:if\s*\([^\n]*?\)\s*[^\n]*?\belse\s+)?({LITERAL})((?:\s*\+\s*(?:{LITERAL}|\w+))*)", re.S)
+NAMED = re.compile(rf"\b(?:val|var|String)\s+(\w+)\s*(?::\s*String\s*)?=\s*([A-Za-z_]\w*)((?:\s*\+\s*(?:{LITERAL}|\w+))+)\s*[;\n]", re.S)
 STAMP = re.compile(r"\b(?:val|var|String)\s+(\w+)\s*(?::\s*String\s*)?=\s*[^\n]*?(?:SimpleDateFormat|ofPattern|DateTimeFormatter[^\n]*?)\(\s*\"([^\"]+)\"[^\n]*")
 PATTERN = (("yyyy", "%Y"), ("yy", "%y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("ss", "%S"))
 
@@ -34,6 +35,8 @@ class Source:
             self.names[m[1]] = self.fold(m[2], m[3])
             choice = "else" in m[0][: m.start(2) - m.start()]
             self.facts.append(config(m[1], self.names[m[1]], line_of(self.text, m.start()), 0.85 if choice else 0.9))
+        for m in NAMED.finditer(self.text):  # names put together from others are known, though no settings of their own
+            self.names.setdefault(m[1], self.fold(m[2], m[3]))
         for m in STAMP.finditer(self.text):
             form = strftime_of(m[2])
             self.names[m[1]] = datetime.date.fromisoformat(as_of).strftime(form) if as_of else "{date:%s}" % form
@@ -59,40 +62,75 @@ class Source:
         return list(re.finditer(pattern, self.text, re.S))
 
 
+CALL = re.compile(r"\s*\.\s*(\w+)\s*(?:\[[^\[\]]*\]\s*)?(\()?", re.S)
+PIECE = re.compile(rf"{LITERAL}|[()\[\]{{}},]", re.S)
+
+
+def arguments(text: str, at: int) -> tuple[list[str], int]:
+    """The arguments of the call whose opening parenthesis is before `at`, and where it has ended."""
+    depth, begin, out = 0, at, []
+    for m in PIECE.finditer(text, at):
+        c = m[0]
+        if c in ("(", "[", "{"):
+            depth += 1
+        elif c in (")", "]", "}"):
+            if not depth:
+                return [*out, text[begin : m.start()].strip()] if out or text[begin : m.start()].strip() else [], m.end()
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(text[begin : m.start()].strip())
+            begin = m.end()
+    return [*out, text[begin:].strip()], len(text)
+
+
+def chained(text: str, at: int) -> list[tuple[str, list[str], int]]:
+    """The calls that follow one another from `at`, however long: name, arguments and end of each."""
+    out = []
+    while m := CALL.match(text, at):
+        args, at = arguments(text, m.end()) if m[2] else ([], m.end())
+        out.append((m[1], args, at))
+    return out
+
+
 def _spark(s: Source, confidence: float) -> None:
-    for m in s.each(rf"\.\s*read(Stream)?\b(?:\(\))?((?:(?!\bwrite\b|;|\bval\b)[^;]){{0,600}}?)\.\s*(parquet|csv|json|orc|text|avro|load|table)\s*\(\s*(?:{ARGUMENT})?"):
-        kind = re.search(r'format\(\s*"(\w+)"', m[2])
-        options = {k: s.fold(v) for k, v in re.findall(rf'option\(\s*"([\w.]+)"\s*,\s*({LITERAL}|[\w.]+)', m[2], re.S)}
-        name = kind[1] if kind else ""
-        if m[3] == "table" and m[4]:
-            s.put("READ", m, confidence, hive(s.fold(m[4], m[5])), "hive")
+    def given(x: str | None) -> str | None:
+        m = re.match(ARGUMENT, x or "", re.S)
+        return s.fold(m[1], m[2]) if m else None
+
+    for m in s.each(r"\.\s*(?:read|write)(?:Stream)?\b(?:\s*\(\s*\))?"):
+        reading = "read" in m[0]
+        ends = ("parquet", "csv", "json", "orc", "text", "avro", "jdbc", *(("load", "table") if reading else ("save", "start", "saveAsTable", "insertInto")))
+        options, name = {}, ""
+        for call, args, stop in chained(s.text, m.end()):
+            if call == "option" and len(args) > 1:
+                options.setdefault(given(args[0]) or "", given(args[1]) or "")
+            elif call == "format" and args:
+                name = name or given(args[0]) or ""
+            elif call in ends:
+                break
+        else:
+            continue
+        way, first = "READ" if reading else "WRITE", given(args[0]) if args else None
+
+        def put(confidence: float, urn: str, kind: str) -> None:
+            s.facts.append(fact(way, line_of(s.text, m.start()), confidence, "REGEX", urn, kind, " ".join(s.text[m.start() : stop].split())))  # noqa: B023
+
+        if call in ("table", "saveAsTable", "insertInto"):
+            if first:
+                put(confidence, hive(first), "hive")
+        elif call == "jdbc":
+            for t in _query_tables((given(args[1]) if len(args) > 1 else None) or ""):
+                put(0.8, f"{first}#{t}", database(first or ""))
         elif name == "kafka":
-            topic = options.get("subscribe") or options.get("topic")
-            s.put("READ", m, 0.85 if topic else 0.75, f"kafka://{topic or 'unknown_topic'}", "kafka")
+            topic = options.get("topic") or (options.get("subscribe") if reading else None)
+            put(0.85 if topic else 0.75, f"kafka://{topic or 'unknown_topic'}", "kafka")
         elif name == "jdbc":
-            for t in _query_tables(options.get("dbtable") or options.get("query") or ""):
-                s.put("READ", m, 0.8, f"{options.get('url', 'jdbc')}#{t}", database(options.get("url", "")))
-        elif m[4]:
-            s.put("READ", m, confidence, s.fold(m[4], m[5]), {"delta": "delta", "sftp": "sftp"}.get(name, "hdfs"))
-    for m in s.each(rf"\.\s*write(Stream)?\b(?:\(\))?((?:(?!\.\s*read\b|;|\bval\b)[^;]){{0,600}}?)\.\s*(parquet|csv|json|orc|text|avro|save|start|saveAsTable|insertInto)\s*\(\s*(?:{ARGUMENT})?"):
-        kind = re.search(r'format\(\s*"(\w+)"', m[2])
-        options = {k: s.fold(v) for k, v in re.findall(rf'option\(\s*"([\w.]+)"\s*,\s*({LITERAL}|[\w.]+)', m[2], re.S)}
-        name = kind[1] if kind else ""
-        if m[3] in ("saveAsTable", "insertInto") and m[4]:
-            s.put("WRITE", m, confidence, hive(s.fold(m[4], m[5])), "hive")
-        elif name == "kafka":
-            s.put("WRITE", m, 0.85 if options.get("topic") else 0.75, f"kafka://{options.get('topic') or 'unknown_topic'}", "kafka")
-        elif name == "jdbc" and options.get("dbtable"):
-            s.put("WRITE", m, 0.8, f"{options.get('url', 'jdbc')}#{options['dbtable']}", database(options.get("url", "")))
-        elif m[4] or options.get("path"):
-            s.put("WRITE", m, confidence, s.fold(m[4], m[5]) if m[4] else options["path"], {"delta": "delta", "sftp": "sftp"}.get(name, "hdfs"))
-        if options.get("checkpointLocation"):
-            s.put("WRITE", m, 0.85, options["checkpointLocation"], "hdfs")
-    for way, verb in (("READ", "read"), ("WRITE", "write")):
-        for m in s.each(rf"\.\s*{verb}\b(?:\(\))?[^;]{{0,300}}?\.\s*jdbc\s*\(\s*({LITERAL}|[\w.]+)\s*,\s*({LITERAL}|[\w.]+)"):
-            url = s.fold(m[1])
-            for t in _query_tables(s.fold(m[2])):
-                s.put(way, m, 0.8, f"{url}#{t}", database(url))
+            for t in _query_tables(options.get("dbtable") or (options.get("query") if reading else None) or ""):
+                put(0.8, f"{options.get('url', 'jdbc')}#{t}", database(options.get("url", "")))
+        elif first or options.get("path"):
+            put(confidence, first or options["path"], {"delta": "delta", "sftp": "sftp"}.get(name, "hdfs"))
+        if not reading and options.get("checkpointLocation"):
+            put(0.85, options["checkpointLocation"], "hdfs")
     for m in s.each(rf"\.\s*(?:textFile|sequenceFile)\s*\(\s*{ARGUMENT}"):
         s.put("READ", m, confidence, s.fold(m[1], m[2]), "hdfs")
     for m in s.each(rf"\.\s*saveAsTextFile\s*\(\s*{ARGUMENT}"):
@@ -144,18 +182,32 @@ def _wrappers(s: Source) -> None:
             s.facts += [f | {"line_number": at, "confidence": min(0.8, f["confidence"])} for f in inner.facts]
 
 
+def _path(s: Source, args: list[str]) -> str | None:
+    """new Path(path) or new Path(parent, child)."""
+    parts = [s.fold(m[1], m[2]) for x in args if (m := re.match(ARGUMENT, x, re.S))]
+    return "/".join([parts[0].rstrip("/"), *(p.strip("/") for p in parts[1:])]) if len(parts) > 1 else parts[0] if parts else None
+
+
 def java(content: str, as_of: str | None = None) -> list[dict[str, Any]]:
     s = Source(content, as_of)
     _spark(s, 0.8)
-    path = rf"new\s+Path\s*\(\s*{ARGUMENT}\s*\)"
-    for verb, kinds in (("copyToLocalFile", ("READ", "")), ("copyFromLocalFile", ("", "WRITE")), ("rename", ("READ", "WRITE"))):
-        for m in s.each(rf"\.\s*{verb}\s*\(\s*(?:(?:true|false)\s*,\s*)*(?:{path}|[\w.]+)\s*,\s*(?:{path}|[\w.]+)"):
-            for kind, first, rest in ((kinds[0], m[1], m[2]), (kinds[1], m[3], m[4])):
-                if kind and first:
-                    s.put(kind, m, 0.75, s.fold(first, rest), "hdfs")
-    for verb, kind in (("open", "READ"), ("delete", "READ"), ("create", "WRITE"), ("append", "WRITE"), ("mkdirs", "WRITE")):
-        for m in s.each(rf"\b(?:fs|fileSystem|hdfs|dfs)\s*\.\s*{verb}\s*\(\s*{path}"):
-            s.put(kind, m, 0.75, s.fold(m[1], m[2]), "hdfs")
+    held = {}  # Path variables; of one name the last before the call counts
+    for m in s.each(r"\bPath\s+(\w+)\s*=\s*new\s+Path\s*\("):
+        held.setdefault(m[1], []).append((m.start(), _path(s, arguments(s.text, m.end())[0])))
+
+    def target(x: str, at: int) -> str | None:
+        if m := re.match(r"new\s+Path\s*\(", x):
+            return _path(s, arguments(x, m.end())[0])
+        return next((p for k, p in reversed(held.get(x, [])) if k < at), None)
+
+    verbs = {"copyToLocalFile": ("READ", ""), "moveToLocalFile": ("READ", ""), "copyFromLocalFile": ("", "WRITE"), "moveFromLocalFile": ("", "WRITE"), "rename": ("READ", "WRITE"), "open": ("READ",), "exists": ("READ",), "delete": ("READ",), "listStatus": ("READ",), "create": ("WRITE",), "append": ("WRITE",), "mkdirs": ("WRITE",), "addInputPath": ("", "READ"), "setInputPaths": ("", "READ"), "setOutputPath": ("", "WRITE")}
+    for m in s.each(rf"\.\s*({'|'.join(verbs)})\s*\("):
+        args, stop = arguments(s.text, m.end())
+        own = [a for a in args if a not in ("true", "false")] if m[1].endswith("LocalFile") else args
+        for kind, x in zip(verbs[m[1]], own):
+            urn = target(x, m.start()) if kind else None
+            if urn and not (m[1] == "exists" and any(f["dataset_urn"] == urn for f in s.facts)):
+                s.facts.append(fact(kind, line_of(s.text, m.start()), 0.75, "REGEX", urn, "hdfs", " ".join(s.text[m.start() : stop].split())))
     for m in s.each(rf"String\.format\s*\(\s*((?:{LITERAL})(?:\s*\+\s*(?:{LITERAL}))*)\s*((?:,\s*[\w.\"/ -]+)*)\)"):
         args = [s.one(a) for a in re.findall(rf"{LITERAL}|[\w.]+", m[2], re.S)]
         text = s.fold('""', m[1])

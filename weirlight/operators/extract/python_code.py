@@ -22,6 +22,7 @@ class Reader(ast.NodeVisitor):
         self.names, self.functions, self.as_of, self.depth, self.line = dict(names), functions, as_of, depth, line
         self.facts: list[dict[str, Any]] = []
         self.forpath: dict[str, str] = {}
+        self.attributes: dict[str, str] = {}
 
     # strings
 
@@ -36,7 +37,8 @@ class Reader(ast.NodeVisitor):
         if isinstance(x, ast.Name):
             return self.names.get(x.id, "{%s}" % x.id)
         if isinstance(x, ast.Attribute):
-            return self.names.get(x.attr if isinstance(x.value, ast.Name) and x.value.id == "self" else ast.unparse(x), "{%s}" % x.attr)
+            own = isinstance(x.value, ast.Name) and x.value.id == "self"
+            return (self.attributes.get(x.attr) or self.names.get(x.attr) if own else self.names.get(ast.unparse(x))) or "{%s}" % x.attr
         if isinstance(x, ast.Call):
             return self.known_call(x) or "{%s}" % ast.unparse(x.func)
         if isinstance(x, ast.Subscript):
@@ -85,7 +87,7 @@ class Reader(ast.NodeVisitor):
                 if isinstance(x.value, ast.Call) and ast.unparse(x.value.func).endswith(("forPath", "forName")) and x.value.args:
                     self.forpath[t.id] = self.fold(x.value.args[-1]) or ""
             elif isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self" and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str):
-                self.names[t.attr] = x.value.value
+                self.attributes[t.attr] = x.value.value
                 self.facts.append(config(f"config.{t.attr}", x.value.value, x.lineno, 0.75, "AST"))
         self.generic_visit(x)
 
@@ -121,9 +123,10 @@ class Reader(ast.NodeVisitor):
         last = chain[0] if chain else (x.func.id if isinstance(x.func, ast.Name) else "")
         keywords = {k.arg: self.fold(k.value) for k in x.keywords if k.arg}
         first = self.fold(x.args[0]) if x.args else keywords.get("path")
-        reading, writing = {"read", "readStream"} & set(chain[1:]), {"write", "writeStream"} & set(chain[1:])
+        way = next((c for c in chain[1:] if c in ("read", "readStream", "write", "writeStream")), "")
+        reading, writing = way.startswith("read"), way.startswith("write")
         streaming = bool({"readStream", "writeStream"} & set(chain))
-        self.dispatch(x, chain, last, first, keywords, options, formats, bool(reading), bool(writing), streaming)
+        self.dispatch(x, chain, last, first, keywords, options, formats, reading, writing, streaming)
         name = last if (isinstance(x.func, ast.Name) or len(chain) == 1) else ""
         if name in self.functions and self.depth < DEPTH:
             self.follow(x, self.functions[name])
@@ -199,6 +202,7 @@ class Reader(ast.NodeVisitor):
         names = self.names | {a.arg: v for a, d in zip(f.args.args[len(f.args.args) - len(f.args.defaults) :], f.args.defaults) if (v := self.fold(d)) is not None}
         names |= {a: v for a, e in zip(args, x.args) if (v := self.fold(e)) is not None} | {k.arg: v for k in x.keywords if k.arg and (v := self.fold(k.value)) is not None}
         inner = Reader(names, self.functions, self.as_of, self.depth + 1, self.line or x.lineno)
+        inner.attributes = dict(self.attributes)
         for s in f.body:
             inner.visit(s)
         self.facts += [i for i in inner.facts if i["fact_type"] in ("READ", "WRITE")]

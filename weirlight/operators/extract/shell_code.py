@@ -11,7 +11,7 @@ from weirlight.operators.extract.common import config, fact, line_of
 from weirlight.operators.extract.sql_code import sql_facts
 
 ASSIGN = re.compile(r"^\s*(?:export\s+|readonly\s+|local\s+)?([A-Za-z_]\w*)=(\"[^\"]*\"|'[^']*'|\$\([^)]*\)|`[^`]*`|[^\s;#]*)")
-DEFAULT = re.compile(r"\$\{(\w+):[-=]((?:[^{}]|\{[^{}]*\})*)\}")
+DEFAULT = re.compile(r"\$\{(\w+):[-=]((?:[^{}$]|\$(?!\{)|\$\{\w+\})*)\}")
 DATE = re.compile(r"(?:\$\(|`)\s*date\s*(?:(?:-d|--date)[= ]?\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?\s*\+?(?:\"\+?([^\"]*)\"|'\+?([^']*)'|([^\s)`]*))\s*(?:\)|`)")
 FS = re.compile(r"\b(?:hdfs\s+dfs|hadoop\s+fs)\s+-(\w+)\s+([^|;&\n]*)")
 CRON = re.compile(r"^\s*(@\w+|(?:[\d*/,\-]+\s+){4}[\d*/,\-A-Za-z]+)\s+(.+)$")
@@ -76,10 +76,8 @@ def dated(text: str, as_of: str | None) -> str:
 
 
 def defaulted(text: str) -> str:
-    for _ in range(5):
-        new = DEFAULT.sub(lambda m: m[2], text)
-        if new == text:
-            break
+    """Every ${x:-default} replaced, from the inside out; each replacement is shorter, so this ends."""
+    while (new := DEFAULT.sub(lambda m: m[2], text)) != text:
         text = new
     return text
 
@@ -158,7 +156,8 @@ def _databases(text: str, out: list[dict[str, Any]]) -> None:
         for f in sql_facts(m[2]):
             out.append(fact("READ", line_of(text, m.start()), 0.65, "REGEX", f"jdbc:postgresql://{named(m[1], '-h')}/{named(m[1], '-d')}#{f['dataset_urn'][7:]}", "postgres", m[0]))
     for m in re.finditer(r"\bmysqldump\b([^|;&>\n]*)", text):
-        args = [w for w in words_of(m[1]) if not w.startswith("-")]
+        words = words_of(m[1])
+        args = [w for i, w in enumerate(words) if not w.startswith("-") and not (i and words[i - 1] in ("-h", "-u", "-P", "--host", "--user", "--port"))]
         for t in args[1:]:
             out.append(fact("READ", line_of(text, m.start()), 0.7, "REGEX", f"jdbc:mysql://{named(m[1], '-h', '--host')}/{args[0]}#{t}", "mysql", m[0]))
     for m in re.finditer(r"\b(mysql|sqlplus)\b([^\n]*)<<-?\s*['\"]?(\w+)['\"]?[^\n]*\n(.*?)\n\s*\3\b", text, re.S):
