@@ -5,6 +5,7 @@ import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -488,27 +489,77 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.toxicity(empty, model).count() == 0
 
 
+def auc(score, y):
+    _, rank, n = np.unique(score, return_inverse=True, return_counts=True)
+    middle = (np.cumsum(n) - (n - 1) / 2)[rank]
+    return (middle[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
+
+
+@pytest.mark.parametrize(("size", "least"), [("sf0.01", 0.9), ("sf0.1", 0.95)])
+def test_toxicity_on_held_out_labels(spark, size, least):
+    """Held-out AUC of the fitted network, with both inputs and without the one or the other."""
+    folder = Path("/root/testdata") / size
+    if not folder.exists():
+        pytest.skip("the driver's tables are not here")
+    docs, labels = (spark.read.parquet(str(folder / f"{t}.parquet")) for t in ("documents", "labels"))
+    model = toxicity.trained(docs, labels)
+    rows = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect() if r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    texts, y = [utf8(r["text"]) for r in rows], np.array([r["toxic"] for r in rows])
+    p, got = model.network.p, {"both": model.scores(texts)}
+    for name, zero in (("characters only", ("table",)), ("words only", ("cfw", "cbw"))):
+        model.network.p = p | {k: np.zeros_like(p[k]) for k in zero}
+        got[name] = model.scores(texts)
+    model.network.p = p
+    area = {k: auc(v, y) for k, v in got.items()}
+    said = got["both"] >= toxicity.THRESHOLD
+    print(size, {k: round(float(v), 3) for k, v in area.items()}, "precision", (said & (y == 1)).sum() / max(1, said.sum()), "recall", said[y == 1].mean())
+    assert area["both"] >= least and area["both"] > area["characters only"]
+    again = toxicity.trained(docs.orderBy(F.desc("doc_id")).repartition(3), labels)
+    assert all((again.network.p[k] == p[k]).all() for k in p)  # the same choice of texts, whatever their order
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, ("vile " if i % 3 == 0 else "kind ") * (1 + i % 40), "clash", 0.5, 1) for i in range(120)] + [(7, "vile " * 9, "clash", 0.5, 1)] * 2 + [(500, "x" * 300_000, None, None, 1), (501, "vile kind " * 60_000, None, None, 1), (502, None, "a", 1.0, 1), (503, "", "a", 1.0, 1), (None, "vile", "a", 1.0, 1)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, held_out string, score double, predicted int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(7, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.trained(own, labels)
+    got = toxicity.toxicity(own, model)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    out = [tuple(r) for r in got.collect()]
+    assert len(out) == len(rows) and all(0 <= r[2] <= 1 and r[3] == int(r[2] >= toxicity.THRESHOLD) for r in out)
+    by = defaultdict(set)
+    for r, x in zip(rows, out):
+        by[r[1]].add(round(x[2], 5))
+    assert sum(map(len, by.values())) == len(by)  # equal texts have equal scores
+    assert toxicity.not_toxic(own, model).columns == own.columns
+
+
 def test_gradients():
     rng = np.random.default_rng(3)
-    net = toxicity.Network(2)
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     w = toxicity.Words.of([b"some few words here and more words", b"others"])
+    net = toxicity.Network()
+    net.learn_words(w.hashes[:3].ravel()[w.hashes[:3].ravel() > 0])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["table"][1:] = rng.normal(size=net.p["table"][1:].shape)
     windows, _ = w.windows()
-    windows = windows[:, :8]
-    stats = rng.normal(size=(*windows.shape, 2)) * (windows >= 0)[:, :, None]
+    windows, rows = windows[:, :8], net.rows(w.hashes)
+    known = (rows > 0).astype(np.float64)
     y, weight = np.array([1.0, 0.0]), np.array([0.5, 0.5])
 
     def loss():
         char, _ = net.words(w.chars, w.lengths)
         own = windows.T
-        x = np.concatenate([stats.transpose(1, 0, 2), char[own]], 2)
+        x = np.concatenate([(net.p["table"][rows] * known[:, :, None]).sum(1), char], 1)[own]
         hf, _ = toxicity.gru(x @ net.p["wfw"] + net.p["wfv"], own >= 0, net.p["wfu"])
         hb, _ = toxicity.gru((x @ net.p["wbw"] + net.p["wbv"])[::-1], (own >= 0)[::-1], net.p["wbu"])
         logit = net.pooled(hf, hb[::-1], own >= 0)[-1]
         return float((weight * np.logaddexp(0, np.where(y == 1, -logit, logit))).sum())
 
-    got = net.gradients(w.chars, w.lengths, stats.astype(np.float64), windows, y, weight)
-    for name in ("out", "att", "query", "wfw", "wbu", "cfu", "cbw"):
+    got = net.gradients(rows, w.chars, w.lengths, windows, y, weight, known)
+    grad = np.zeros_like(net.p["table"])
+    np.add.at(grad, rows, got["table"])
+    got["table"] = grad
+    for name in ("out", "att", "query", "wfw", "wbu", "cfu", "cbw", "table"):
         at = np.unravel_index(np.argmax(np.abs(got[name])), got[name].shape)
         old = net.p[name][at]
         net.p[name][at] = old + 1e-2

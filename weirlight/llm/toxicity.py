@@ -1,18 +1,22 @@
 """Toxicity of whole texts by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-A word is a run of letters and digits, lower-cased; a longer one than PIECE bytes is several. Its inputs are what its
-characters tell a bidirectional recurrent network, and how the word and its beginnings are spread over toxic and other
-training texts. A second bidirectional network reads windows of WINDOW words, one every half window, so that every word
-but those at the ends lies in two; attention pools each window, and a text is as toxic as its worst window.
+A word is a run of letters and digits, lower-cased; a longer one than PIECE bytes is several. Its inputs are the sum of
+learnt vectors, of the word and of its BEGINNINGS in bytes, each if at least KNOWN training texts hold it, and what its
+characters tell a bidirectional recurrent network. A second bidirectional network reads windows of WINDOW words, one every half window, so that every word but those at the ends lies
+in two; attention pools each window, and a text is as toxic as its worst window. Table, character and word networks and
+attention are learnt together, by gradients of the loss.
 
 The network is fitted on at most TOXIC and OTHER labelled texts, in the order of a hash of doc_id, of those whose
 crc32(doc_id) modulo 4 is not 2, none longer than LONGEST characters; that bounds the one task that fits it and what is
-shipped to the others. Word statistics of a training text come from the other folds. Scoring is one pass over all texts
-without a shuffle.
+shipped to the others. A label is of a whole text, so a round learns from the window of each text that the round before
+scored highest (the first one from that with the word most typical of toxic texts), and from further ones of texts that
+aren't toxic. One text in CALIBRATION is kept out of the network's training and sets the level of the scores. Scoring is
+one pass over all texts without a shuffle.
 
 Defined cases: null and empty texts, and those without words, get the score of no evidence; a null doc_id stays null
 and is not held out; repeated rows are scored alike; of conflicting labels of a doc_id the toxic one counts; without
-labels of both kinds every score is 0; an empty table gives no rows; other columns are ignored.
+labels of both kinds every score is 0; of texts that share a labelled doc_id the least is learnt from; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlight.llm.common import joined, pieces, span_hashes, table, utf8, word_spans
+from weirlight.llm.common import joined, pieces, table, utf8, word_hashes, word_spans
 
 TOXIC, OTHER, LONGEST = 1200, 2800, 100_000
 WINDOW, STRIDE, PIECE = 32, 16, 24
+CALIBRATION, PRIOR = 5, 4.0
 BEGINNINGS = (6, 8)
-FOLDS, PRIOR = 5, 4.0
-CHAR, HIDDEN, POOL = 6, 8, 8
-EPOCHS, STEPS, BATCH, RATE = 5, 150, 192, 0.012
+KNOWN, VECTOR, CHAR, HIDDEN, POOL = 3, 8, 8, 8, 8
+EPOCHS, STEPS, BATCH, RATE, TABLE_RATE, DECAY, FORGOTTEN = 8, 80, 192, 0.012, 0.03, 0.01, 0.25
 THRESHOLD = 0.3
 CHUNK, RUN = 1 << 21, 4096
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -44,7 +48,7 @@ _PLAIN = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else 32 for b in ra
 class Words:
     """Words of some texts: the distinct ones by hash, with the bytes of each; number of each word; where texts begin."""
 
-    keys: list[np.ndarray]  # hashes of the distinct words and of their beginnings
+    hashes: np.ndarray  # (distinct, 3): of the distinct words and of their beginnings, 0 where a word isn't longer
     chars: np.ndarray  # (distinct, PIECE), 0 where there is none
     lengths: np.ndarray
     number: np.ndarray
@@ -59,15 +63,15 @@ class Words:
             within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             b, e = np.repeat(b, parts) + within * PIECE, np.repeat(e, parts)
             e = np.minimum(e, b + PIECE)
-        h = span_hashes(buf, b, e) if len(b) else np.zeros(0, np.uint64)
+        h = word_hashes(buf, b, e)
         distinct, first, number = np.unique(h, return_index=True, return_inverse=True)
         fb, fe = b[first], e[first]
         chars = np.zeros((len(fb), PIECE), np.uint8)
         for i in range(PIECE):
             own = np.flatnonzero(fb + i < fe)
             chars[own, i] = buf[fb[own] + i]
-        heads = [np.where(fe - fb > n, span_hashes(buf, fb, np.minimum(fb + n, fe)) if len(fb) else distinct, 0).astype(np.uint64) for n in BEGINNINGS]
-        return cls([distinct, *heads], chars, (fe - fb).astype(np.int64), number, np.searchsorted(b, starts))
+        heads = [np.where(fe - fb > n, word_hashes(buf, fb, np.minimum(fb + n, fe)) ^ np.uint64(n), 0).astype(np.uint64) for n in BEGINNINGS]
+        return cls(np.stack([distinct, *heads], 1), chars, (fe - fb).astype(np.int64), number, np.searchsorted(b, starts))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of every window, -1 where there are none, and the text of each window; one at least for each text."""
@@ -124,12 +128,13 @@ def gru_back(grad: np.ndarray, past: list, u: np.ndarray) -> tuple[np.ndarray, n
 class Network:
     """Parameters, the score of windows and its gradients."""
 
-    def __init__(self, inputs: int, seed: int = 11):
+    def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         draw = lambda *s, scale=None: (rng.normal(size=s) * (scale or 1 / np.sqrt(s[0]))).astype(np.float32)
-        self.p = {"out": draw(2 * HIDDEN, 1), "bias": np.array([-2.0], np.float32), "att": draw(2 * HIDDEN, POOL), "query": draw(POOL, 1)}
+        self.p = {"out": draw(2 * HIDDEN, 1), "bias": np.array([-2.0], np.float32), "att": draw(2 * HIDDEN, POOL), "query": draw(POOL, 1), "table": np.zeros((1, VECTOR), np.float32)}
+        self.known = np.zeros(0, np.uint64)
         for way in ("f", "b"):
-            self.p |= {f"c{way}w": draw(256, 3 * CHAR, scale=0.3), f"c{way}u": draw(CHAR, 3 * CHAR), f"w{way}w": draw(inputs + 2 * CHAR, 3 * HIDDEN), f"w{way}v": np.zeros(3 * HIDDEN, np.float32), f"w{way}u": draw(HIDDEN, 3 * HIDDEN)}
+            self.p |= {f"c{way}w": draw(256, 3 * CHAR, scale=0.3), f"c{way}u": draw(CHAR, 3 * CHAR), f"w{way}w": draw(VECTOR + 2 * CHAR, 3 * HIDDEN), f"w{way}v": np.zeros(3 * HIDDEN, np.float32), f"w{way}u": draw(HIDDEN, 3 * HIDDEN)}
 
     def words(self, chars: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """What the characters of each word tell: the last states of both directions."""
@@ -144,14 +149,26 @@ class Network:
             past.append((own, kept))
         return np.concatenate(out, 1), past
 
-    def vectors(self, w: Words, stats: np.ndarray) -> np.ndarray:
+    def learn_words(self, hashes: np.ndarray) -> None:
+        """Words and beginnings that get vectors of their own; row 0 of the table, which stays zero, stands for all others."""
+        self.known = np.unique(hashes)
+        self.p["table"] = np.zeros((1 + len(self.known), VECTOR), np.float32)
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Their rows in the table."""
+        if not len(self.known):
+            return np.zeros(hashes.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at + 1, 0)
+
+    def vectors(self, w: Words) -> np.ndarray:
         """Inputs of each distinct word; words of like length are worked through together."""
         chars = np.zeros((len(w.lengths), 2 * CHAR), np.float32)
         order = np.argsort(w.lengths, kind="stable")
         for k in range(0, len(order), 2 * RUN):
             own = order[k : k + 2 * RUN]
             chars[own] = self.words(w.chars[own], w.lengths[own])[0]
-        return np.concatenate([stats, chars], 1)
+        return np.concatenate([self.p["table"][self.rows(w.hashes)].sum(1), chars], 1)
 
     def pooled(self, hf: np.ndarray, hb: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
         h = np.concatenate([hf, hb], 2)
@@ -175,13 +192,14 @@ class Network:
             out[k : k + RUN] = self.pooled(hf, hb[::-1], mask)[-1]
         return out
 
-    def gradients(self, chars: np.ndarray, lengths: np.ndarray, stats: np.ndarray, windows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted log loss of windows over these words; stats are by place, since they depend on the text's fold."""
+    def gradients(self, rows: np.ndarray, chars: np.ndarray, lengths: np.ndarray, windows: np.ndarray, y: np.ndarray, weight: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted log loss of windows over these words; rows: of the table, for each word; known: 0 for those left out, else 1. That of the table is one row for each of rows."""
         p, g = self.p, {}
         own = windows.T
         mask = own >= 0
         char, past = self.words(chars, lengths, True)
-        x = np.concatenate([stats.transpose(1, 0, 2), char[own]], 2)
+        word = np.concatenate([(p["table"][rows] * known[:, :, None]).sum(1), char], 1)
+        x = word[own]
         hf, kept_f = gru(x @ p["wfw"] + p["wfv"], mask, p["wfu"], True)
         hb, kept_b = gru((x @ p["wbw"] + p["wbv"])[::-1], mask[::-1], p["wbu"], True)
         h, a, w, pool, logit = self.pooled(hf, hb[::-1], mask)
@@ -201,8 +219,11 @@ class Network:
             dp = dp * mask[:, :, None]
             g[f"w{way}w"], g[f"w{way}v"] = np.einsum("tni,tnj->ij", x, dp).astype(np.float32), dp.sum((0, 1))
             dx += dp @ p[f"w{way}w"].T
-        dchar = np.zeros_like(char)
-        np.add.at(dchar, own[mask], dx[:, :, stats.shape[2] :][mask])
+        order = np.argsort(own[mask], kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(own[mask][order]) > 0])
+        dword = np.zeros_like(word)
+        dword[own[mask][order][heads]] = np.add.reduceat(dx[mask][order], heads, axis=0)
+        g["table"], dchar = dword[:, None, :VECTOR] * known[:, :, None], dword[:, VECTOR:]
         for way, (ids, kept), part in (("f", past[0], dchar[:, :CHAR]), ("b", past[1], dchar[:, CHAR:])):
             grad = np.zeros((len(kept), *part.shape), np.float32)
             grad[-1] = part
@@ -216,26 +237,15 @@ class Network:
 @dataclass
 class Model:
     network: Network
-    hashes: list[np.ndarray]
-    odds: list[np.ndarray]
     scale: tuple[float, float]
 
-    def stats(self, keys: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(keys[0]), len(keys)), np.float32)
-        for k, (own, h, o) in enumerate(zip(keys, self.hashes, self.odds)):
-            if len(h):
-                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                out[:, k] = np.where(h[at] == own, o[at], 0)
-        return out
-
     def log_odds(self, texts: list[bytes]) -> np.ndarray:
         """Of each text: its worst window's."""
         out = np.zeros(len(texts))
         for b, e in pieces(texts, CHUNK):
             w = Words.of(texts[b:e])
             windows, text = w.windows()
-            vectors = self.network.vectors(w, self.stats(w.keys)) if len(w.lengths) else np.zeros((0, self.network.p["wfw"].shape[0]), np.float32)
-            score = self.network.score(vectors, windows)
+            score = self.network.score(self.network.vectors(w), windows)
             out[b:e] = np.maximum.reduceat(score, np.flatnonzero(np.r_[True, text[1:] != text[:-1]]))
         return out
 
@@ -243,9 +253,14 @@ class Model:
         return _sigmoid(self.scale[0] * self.log_odds(texts) + self.scale[1]) if texts else np.zeros(0)
 
 
-def _odds(toxic: np.ndarray, other: np.ndarray, rate: float) -> np.ndarray:
-    q = (toxic + PRIOR * rate) / (toxic + other + PRIOR)
-    return np.clip(np.log(q / (1 - q)) - np.log(rate / (1 - rate)), -4, 4).astype(np.float32)
+def suspicion(number: np.ndarray, doc: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
+    """Of each of n words, how much likelier a text that holds it is to be toxic: only to choose the windows of the first round."""
+    if not n:
+        return np.zeros(0)
+    pair = np.unique(doc * n + number)
+    toxic, total = np.bincount(pair % n, y[pair // n], n), np.bincount(pair % n, minlength=n)
+    q = (toxic + PRIOR * y.mean()) / (total + PRIOR)
+    return np.log(q / (1 - q))
 
 
 def fit(texts: list[bytes], y: np.ndarray, rate: float | None = None) -> Model | None:
@@ -255,34 +270,36 @@ def fit(texts: list[bytes], y: np.ndarray, rate: float | None = None) -> Model |
     rng = np.random.default_rng(5)
     w = Words.of(texts)
     share = float(y.mean())
-    fold = rng.permutation(len(y)) % FOLDS
+    spared = np.zeros(len(y), bool)  # of each label one in CALIBRATION, unless that leaves none
+    for label in (0, 1):
+        own = rng.permutation(np.flatnonzero(y == label))
+        spared[own[: len(own) // CALIBRATION]] = True
     doc = np.repeat(np.arange(len(y)), np.diff(w.at))
-    hashes, odds, by_fold = [], [], []
-    for key in w.keys:
-        ids, inverse = np.unique(key, return_inverse=True)
-        pair = np.unique(doc * len(ids) + inverse[w.number]) if len(doc) else np.zeros(0, np.int64)
-        d, k = pair // len(ids), pair % len(ids)
-        toxic = np.bincount(fold[d] * len(ids) + k, y[d], FOLDS * len(ids)).reshape(FOLDS, -1)
-        other = np.bincount(fold[d] * len(ids) + k, 1 - y[d], FOLDS * len(ids)).reshape(FOLDS, -1)
-        real = ids != 0
-        by_fold.append(np.where(real[inverse], _odds(toxic.sum(0) - toxic, other.sum(0) - other, share)[:, inverse], 0))
-        full = _odds(toxic.sum(0), other.sum(0), share)
-        keep = real & (toxic.sum(0) + other.sum(0) > 1) & (np.abs(full) > 0.05)
-        hashes.append(ids[keep])
-        odds.append(full[keep])
-    net = Network(len(w.keys))
+    net = Network()
+    kept, often = ~spared[doc], []
+    for column in w.hashes.T:
+        ids, inverse = np.unique(column, return_inverse=True)
+        pair = np.unique(doc[kept] * max(1, len(ids)) + inverse[w.number[kept]]) if len(ids) else np.zeros(0, np.int64)
+        held = np.bincount(pair % max(1, len(ids)), minlength=len(ids))
+        often.append(ids[(held >= KNOWN) & (ids != 0)])
+    net.learn_words(np.concatenate(often))
+    table_rows = net.rows(w.hashes)
     windows, text = w.windows()
-    stats = lambda rows: np.stack([f[fold[text[rows]][:, None], np.maximum(windows[rows], 0)] * (windows[rows] >= 0) for f in by_fold], 2).astype(np.float32)
     first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     last = np.r_[first[1:], len(text)]
-    hint = np.concatenate([stats(np.arange(k, min(k + 8192, len(text)))).max((1, 2)) for k in range(0, len(text), 8192)]) + rng.random(len(text)) * 1e-3
+    typical = np.full(len(w.lengths) + 1, -9.0)
+    for column in w.hashes.T:
+        ids, inverse = np.unique(column, return_inverse=True)
+        own = suspicion(inverse[w.number[kept]], doc[kept], len(ids), y)[inverse]
+        typical[:-1] = np.maximum(typical[:-1], np.where(column != 0, own, -9.0))
+    hint = np.concatenate([typical[windows[k : k + 8192]].max(1) for k in range(0, len(text), 8192)]) + rng.random(len(text)) * 1e-3
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // (2 * len(y))))
     for epoch in range(epochs):
-        # the most suspicious window of each text, and another one of those that aren't toxic
-        top = np.array([b + int(hint[b:e].argmax()) for b, e in zip(first, last)])
-        more = np.array([int(rng.integers(b, e)) for b, e, t in zip(first, last, y) if not t], np.int64)
+        top = np.array([b + int(hint[b:e].argmax()) for b, e, s in zip(first, last, spared) if not s])
+        more = np.array([int(rng.integers(b, e)) for b, e, t, s in zip(first, last, y, spared) if not t and not s], np.int64)
         rows = rng.permutation(np.r_[top, more])
+        slower = 0.3 if epoch == epochs - 1 else 1
         for k in range(0, len(rows), BATCH):
             own = rows[k : k + BATCH]
             ids, inverse = np.unique(windows[own], return_inverse=True)
@@ -291,33 +308,41 @@ def fit(texts: list[bytes], y: np.ndarray, rate: float | None = None) -> Model |
                 ids, inverse = ids[1:], inverse - 1
             if not len(ids):
                 continue
-            g = net.gradients(w.chars[ids], w.lengths[ids], stats(own), inverse, y[text[own]], np.full(len(own), 1 / len(own)))
+            r = table_rows[ids]
+            known = ((rng.random(r.shape) >= FORGOTTEN) & (r > 0)).astype(np.float32)  # some are left out, so that characters are learnt too
+            g = net.gradients(r, w.chars[ids], w.lengths[ids], inverse, y[text[own]], np.full(len(own), 1 / len(own)), known)
+            grad = DECAY * net.p["table"] / len(own)
+            np.add.at(grad, r, g["table"])
+            g["table"] = grad
             step += 1
             for name, v in net.p.items():
                 m1, m2 = moments[name]
                 m1 += 0.1 * (g[name] - m1)
                 m2 += 0.01 * (g[name] ** 2 - m2)
-                v -= RATE * (0.3 if epoch == epochs - 1 else 1) * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+                v -= (TABLE_RATE if name == "table" else RATE) * slower * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + (1e-4 if name == "table" else 1e-6))
         if (epoch + 1) % (epochs // EPOCHS) and epoch + 1 < epochs:
             continue
-        # windows of the training texts with the statistics of their folds; the next rounds learn from the worst ones
-        hint = np.empty(len(text), np.float32)
-        char = net.vectors(w, np.zeros((len(w.lengths), 0), np.float32))
-        for f in range(FOLDS):
-            own = np.flatnonzero(fold[text] == f)
-            hint[own] = net.score(np.concatenate([np.stack([x[f] for x in by_fold], 1).astype(np.float32), char], 1), windows[own])
-    top = np.maximum.reduceat(hint, first)
-    rate = share if rate is None else rate
+        hint = net.score(net.vectors(w), windows)
+    judges = spared if len(set(y[spared])) == 2 else np.ones(len(y), bool)
+    top, y = np.maximum.reduceat(hint, first)[judges], y[judges]
+    aim = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))  # not quite 1 and 0, as few texts judge
+    rate, share = share if rate is None else rate, float(y.mean())
     weight = np.where(y == 1, rate / share, (1 - rate) / (1 - share))
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a logistic fit, which sets the level of the scores
-        p = _sigmoid(a * top + b)
-        g0, g1 = (weight * (p - y) * top).sum() + 1e-3 * (a - 1), (weight * (p - y)).sum()
-        h = weight * p * (1 - p) + 1e-9
-        m = np.array([[(h * top * top).sum() + 1e-3, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-6]])
-        da, db = np.linalg.solve(m, [g0, g1])
-        a, b = a - da, b - db
-    return Model(net, hashes, odds, (float(a), float(b)))
+    x, ridge = np.stack([top, np.ones(len(top))], 1), np.array([1e-3, 1e-3])
+    at, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((weight * (np.logaddexp(0, z) - aim * z)).sum() + (ridge * (v - start) ** 2).sum() / 2)
+
+    for _ in range(50):  # Newton steps of a logistic fit, which sets the level of the scores; halved while they don't help
+        p = _sigmoid(x @ at)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (p - aim)) + ridge * (at - start))
+        while np.abs(step).max() > 1e-9 and loss(at - step) > loss(at):
+            step /= 2
+        at = at - step
+    a, b = at
+    return Model(net, (float(a), float(b)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -335,13 +360,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
         part = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     # at most TOXIC + OTHER rows of two numbers, so this side may be broadcast
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rate = counts[1] / (counts[0] + counts[1])
 
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
         model = fit([utf8(r[1]) for r in own], np.array([r[2] for r in own], np.float64), rate)
-        parts = model and (model.network.p, model.hashes, model.odds, model.scale)
+        parts = model and (model.network.p, model.network.known, model.scale)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], names=["model"])
 
     # one task fits, on the bounded sample, so that the driver holds no more than the model
@@ -349,9 +374,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
     parts = pickle.loads(row[0]) if row else None
     if not parts:
         return None
-    network = Network(len(parts[1]))
-    network.p = parts[0]
-    return Model(network, *parts[1:])
+    network = Network()
+    network.p, network.known = parts[:2]
+    return Model(network, parts[2])
 
 
 def _scoring(model: Model | None) -> Callable[[list[str | None]], np.ndarray]:
