@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from html import escape, unescape
 
@@ -30,12 +30,15 @@ from weirlight.llm.common import table
 PAGES, TREES, DEPTH, RATE, BINS = 900, 60, 4, 0.2, 32
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+MARK = re.compile(r"""=\s*(["'])|[<>]""")
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "xmp", "noembed", "noframes", "select", "button", "object", "canvas", "video", "audio", "math"}
+#: What is inside of these isn't shown, or is no text of the page. Formulas (math) and what object falls back on count as inline content.
+RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "xmp", "noembed", "noframes", "select", "button", "canvas", "video", "audio"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html head legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+STOPS = ("ul", "ol", "table", "dl", "div", "article", "section", "menu")
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 KINDS = ["leaf", "p", "h", "li", "list", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "root"]
 KIND = {t: k for k, ts in {"p": "p", "h": "h1 h2 h3 h4 h5 h6", "li": "li dt dd", "list": "ul ol dl menu dir", "div": "div center address details summary dialog", "article": "article", "main": "main", "section": "section", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form fieldset legend", "table": "table tbody td tfoot th thead tr", "quote": "blockquote pre", "figure": "figure figcaption", "root": "html body head"}.items() for t in ts.split()}
@@ -48,8 +51,51 @@ BIT = {w: 1 << i for i, ws in enumerate(GROUPS.values()) for w in ws.split()}
 N_GROUPS = len(GROUPS)
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, lower-case name ("" for comments and declarations), whether it closes, and attributes of each tag, in one pass.
+
+    A quote counts only after "=", and only if it is closed; a tag ends at the next > or before the next < outside of quotes.
+    A < that no name follows, or after which no < or > comes, is text.
+    """
+    at, unclosed, last = 0, set(), max(html.rfind(">"), html.rfind("<"))
+    while (i := html.find("<", at)) >= 0 and i < last:
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            at = len(html) if end < 0 else end + 3
+            yield i, at, "", False, ""
+            continue
+        if html[i + 1] in "!?":
+            end = html.find(">", i)
+            if end < 0:
+                return
+            at = end + 1
+            yield i, at, "", False, ""
+            continue
+        closing = html[i + 1] == "/"
+        m = NAME.match(html, i + 1 + closing)
+        if not m:
+            at = i + 1
+            continue
+        k = m.end()
+        while found := MARK.search(html, k):
+            quote = found[1]
+            if not quote:
+                break
+            k = found.end()
+            if quote not in unclosed:
+                end = html.find(quote, k)
+                if end < 0:
+                    unclosed.add(quote)
+                else:
+                    k = end + 1
+        if not found:
+            return
+        at = found.end() if found[0] == ">" else found.start()
+        yield i, at, m[0].lower(), closing, html[m.end() : found.start()]
+
+
 class Page:
-    """Nodes of one page; a node's parent comes before it. Leaves have text."""
+    """Nodes of one page; a node's parent comes before it. Leaves have text. Parsing takes time in proportion to the page, whatever it holds."""
 
     def __init__(self, html: str):
         self.parent, self.kind, self.bits, self.text, self.links = [-1], [KINDS.index("root")], [0], [None], [0]
@@ -62,67 +108,68 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]
+        places: dict[str, list[int]] = {}  # of each name, where it lies in the stack
         inline: list[str] = []
-        state = {"links": 0, "linked": 0}
+        links = linked = at = 0
+        endless: set[str] = set()  # names of raw elements that no end follows
 
-        def say(raw: str) -> None:
-            if raw:
-                inline.append(raw)
-                if state["linked"]:
-                    state["links"] += len(raw)
+        def cut(k: int) -> None:
+            while len(stack) > k:
+                places[stack.pop()[0]].pop()
+
+        def place(names: Iterable[str]) -> int:
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
 
         def flush() -> None:
             text = " ".join(unescape("".join(inline)).split())
             if text:
-                self._node(stack[-1][1], 0, 0, text, min(state["links"], len(text)))
+                self._node(stack[-1][1], 0, 0, text, min(links, len(text)))
             inline.clear()
-            state["links"] = 0
-
-        at = 0
-        while m := TAG.search(html, at):
-            say(html[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
-                continue
-            name, closing = name.lower(), m[1] or m[4]
+
+        for begin, end, name, closing, attributes in tags(html):
+            if begin < at:
+                continue  # inside a raw element
+            if begin > at:
+                inline.append(html[at:begin])
+                links += (begin - at) * linked
+            at = end
             if name in RAW:
-                if not closing:
-                    end = re.compile(f"</{name}", re.I).search(html, at)
-                    if end or name in ("script", "style", "textarea", "title"):
-                        close = html.find(">", end.end()) if end else -1
+                if not closing and name not in endless:
+                    m = re.compile(f"</{name}(?=[\\s/>]|$)", re.I).search(html, end)
+                    if m:
+                        close = html.find(">", m.end())
                         at = len(html) if close < 0 else close + 1
-                continue
-            if name == "br" or name == "hr":
-                say(" ")
+                    else:
+                        endless.add(name)
+                        if name in ("script", "style", "textarea", "title"):
+                            at = len(html)
+            elif name == "br" or name == "hr":
+                inline.append(" ")
             elif name == "a":
-                state["linked"] = 0 if closing else 1
+                linked = int(not closing)
             elif name in BLOCK:
                 flush()
-                state["linked"] = 0
+                links = linked = 0
                 if closing:
-                    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+                    k = place([name])
                     if k and name not in ("html", "body"):
-                        del stack[k:]
+                        cut(k)
                 elif name not in ("html", "body"):
                     if stack[-1][0] == "p":
-                        stack.pop()
-                    ends = ENDS.get(name)
-                    if ends:
-                        for k in range(len(stack) - 1, 0, -1):
-                            if stack[k][0] in ends:
-                                del stack[k:]
-                                break
-                            if stack[k][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "menu"):
-                                break
+                        cut(len(stack) - 1)
+                    ends = place(ENDS.get(name, ()))
+                    if ends and ends > place(STOPS):
+                        cut(ends)
                     bits = 0
-                    attributes = m[3] or m[6]
                     if attributes:
                         for a in ATTRIBUTE.findall(attributes):
                             for t in TOKEN.findall(a):
                                 bits |= BIT.get(t.lower(), 0)
+                    places.setdefault(name, []).append(len(stack))
                     stack.append((name, self._node(stack[-1][1], KINDS.index(KIND[name]), bits)))
-        say(html[at:])
+        if at < len(html):
+            inline.append(html[at:])
+            links += (len(html) - at) * linked
         flush()
 
 
@@ -236,7 +283,8 @@ def decode(parent: list[int], odds: np.ndarray) -> np.ndarray:
 def generated(seed: int) -> tuple[str, list[str]]:
     """A page and the blocks of its main text."""
     r = random.Random(seed)
-    syllables = r.choice([["the", "an", "er", "on", "re", "ing", "ti", "es", "ou", "ha"], ["ver", "sch", "ein", "ung", "ge", "lich", "ä", "keit", "be"], ["é", "tion", "eau", "ment", "ou", "re", "le", "ai"], ["ción", "os", "ar", "la", "que", "ie", "ñ", "do"]])
+    letters = r.choice(["aeioubcdfglmnprst", "aeiouäöükrstnmhlg", "éèaeiouçlmnrpst", "aeoiñáuclmnrdst", "абвгдеклмнопрст", "αβγδεικλμνοπρστ"])
+    syllables = ["".join(r.choice(letters) for _ in range(r.randint(1, 4))) for _ in range(r.randint(8, 60))]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     junk = r.choice(["", "", "", "%%%", "&", "***"])
     words = lambda a, b: " ".join(word() + (junk if junk and r.random() < 0.4 else "") for _ in range(r.randint(a, b)))
@@ -271,7 +319,7 @@ def generated(seed: int) -> tuple[str, list[str]]:
     menu = lambda: box(["nav", "nav", "div", "ul"], "menu", link_list())
     advert = lambda: box(["div", "aside", "section", "p"], "advert", r.choice([prose(1, 1), words(2, 12), para()]), True)
     head = lambda: box(["header", "div"], "head", r.choice([f"<h1>{words(1, 3)}</h1>", words(1, 4), f'<a href="/">{words(1, 3)}</a>']) + r.choice(["", menu(), f"<p>{words(2, 8)}</p>"]), True)
-    foot = lambda: box(["footer", "footer", "div"], "foot", r.choice(["&copy; ", ""]) + r.choice([words(2, 6) + " &middot; " + prose(1, 2), para(), link_list()]))
+    foot = lambda: box(["footer", "footer", "div"], "foot", r.choice(["&copy; ", f"© {r.randint(1998, 2030)} ", ""]) + r.choice([words(1, 6) + r.choice([" &middot; ", " | ", ", "]) + prose(1, 3), f"www.{word()}.example " + prose(1, 2), para(), prose(1, 3), link_list()]))
     side = lambda: box(["aside", "div", "section"], "side", f"<h3>{words(1, 3)}</h3>" + r.choice([link_list(), para(), para() + link_list(), para() + para()]), True)
     notice = lambda: box(["div", "section", "aside"], "notice", para() + r.choice(["", "<button>ok</button>"]), True)
     form = lambda: f'<form{name("form")}><label>{words(1, 3)}</label><input name="q">{r.choice(["", "<p>" + prose(1, 1) + "</p>"])}<button>{word()}</button></form>'
@@ -286,7 +334,7 @@ def generated(seed: int) -> tuple[str, list[str]]:
         title = words(2, 9)
         if r.random() < 0.85:
             out.append(block("h1", title))
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5, 8, 14])):
             k = r.random()
             if k < 0.78:
                 out.append(block("p", prose(1, r.choice([1, 3, 6]))))
@@ -330,7 +378,9 @@ def generated(seed: int) -> tuple[str, list[str]]:
     wrap = r.choice(["{}", "{}", '<div class="wrapper">{}</div>', '<div id="page">{}</div>'])
     body = wrap.format("".join(before) + main + "".join(after))
     tail = r.choice(["</body></html>", "</body></html>", ""])
-    return f'<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body{r.choice(["", name("content")])}>{body}{tail}', blocks
+    extra = lambda: r.choice(["", f"<style>.{word()}{{color:red}} p > a{{margin:{r.randint(0, 9)}px}}</style>", f"<script>if (a < b) {{ document.write('<p>{word()}</p>'); }}</script>", f'<script src="/{word()}.js"></script>', f'<meta name="description" content="{words(3, 9)}">', f"<!-- {words(1, 5)} <p> -->", f"<noscript><p>{words(2, 6)}</p></noscript>"])
+    head_ = r.choice(["<!DOCTYPE html>", "<!doctype html>", ""]) + f"<html><head>{extra()}<title>{words(2, 8)}</title>{extra()}{extra()}</head><body{r.choice(['', name('content')])}>"
+    return f"{head_}{extra()}{body}{extra()}{tail}", blocks
 
 
 def labels(page: Page, blocks: list[str]) -> np.ndarray:
