@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weirlight.functions import paths, resolve
+from weirlight.functions import detect, paths, resolve
 from weirlight.operators import facts as fx
 from weirlight.operators import lineage, reports, scoring
 from weirlight.plans.scan import scan
@@ -118,3 +118,13 @@ def test_settings(tmp_path):
     (tmp_path / "bad.yaml").write_text("nope: 1\n")
     with pytest.raises(ValueError):
         load_settings(str(tmp_path / "bad.yaml"))
+
+
+def test_code_of_file_types_compiles(spark):
+    """The expression of a file's type is small enough for generated code; with fallback off a failure to compile raises."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = spark.createDataFrame([("a.py", "x"), ("b", "#!/bin/sh\nls"), ("c.json", '{"flowContents": 1}')], "path string, content string")
+        assert [r[0] for r in rows.select(detect.file_type(F.col("path"), F.col("content"))).collect()] == ["pyspark", "shell", "nifi"]
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", "true")

@@ -32,7 +32,7 @@ class Case:
             F.concat(F.lit("case/"), key).alias("relative_path"), F.lit(self.kind).alias("file_type"), F.replace(F.replace(F.lit(self.text), F.lit("«k»"), key), F.lit("«n»"), nation).alias("content")
         )
         return extract_facts(files, self.as_of).select(
-            "source_file", "fact_type", "line_number", F.round("confidence", 2).alias("confidence"), F.coalesce("dataset_urn", "config_key", "dependency_job").alias("name"), F.coalesce("dataset_type", "config_value", "dependency_type").alias("detail")
+            "source_file", "fact_type", "line_number", F.round("confidence", 2).alias("confidence"), F.coalesce("dataset_urn", "config_key", "dependency_job", F.lit("")).alias("name"), F.coalesce("dataset_type", "config_value", "dependency_type", F.lit("")).alias("detail")
         )
 
     def sql(self) -> str:
