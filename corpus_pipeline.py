@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result, kept as Parquet, is the next one's docs."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result, kept as Parquet, is the next one's docs.
+
+Defined cases, of every stage: a null or empty text is clean, holds nothing and is packed as its end mark alone; a row
+without doc_id is handled by its text and never stands for, or yields to, another one; repeated rows are treated alike,
+but of those that share a doc_id near dedup keeps one; an empty table gives an empty one; other columns of docs, whatever
+their names, come through unchanged up to packing, whose result has columns of its own.
+"""
 
 from __future__ import annotations
 
