@@ -128,3 +128,15 @@ def test_code_of_file_types_compiles(spark):
         assert [r[0] for r in rows.select(detect.file_type(F.col("path"), F.col("content"))).collect()] == ["pyspark", "shell", "nifi"]
     finally:
         spark.conf.set("spark.sql.codegen.fallback", "true")
+
+
+def test_reach_is_the_same_in_one_task_and_by_closure(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(60)] + [("a", "b"), ("b", "a"), ("self", "self")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    small = sorted(map(tuple, lineage.reach(edges).collect()))
+    monkeypatch.setattr(lineage, "SMALL_LINKS", 0)
+    assert small == sorted(map(tuple, lineage.reach(edges).collect())) and ("a", 1) in small and "self" not in dict(small)
+    assert lineage.reach(edges.limit(0)).count() == 0

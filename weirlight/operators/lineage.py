@@ -5,6 +5,9 @@ Edges are a multigraph, one for each fact; degrees and reach use the simple grap
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,10 +164,47 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("urn").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
+#: Up to so many links, among so many nodes, reach is worked out in one task, whose sets take SMALL_NODES ** 2 / 8 bytes at most.
+SMALL_LINKS, SMALL_NODES = 200_000, 20_000
+
+
 def reach(edges: DataFrame) -> DataFrame:
+    """urn, downstream_reach: the number of nodes that a path leads to from each node that has any. The same figures in one task for a small graph, by closure() for others."""
+    links = simple(edges).where("src != dst")
+    ends = links.select(F.col("src").alias("n")).unionByName(links.select(F.col("dst").alias("n")))
+    size = ends.agg(F.count("*") / 2, F.countDistinct("n")).first()
+    if size[0] <= SMALL_LINKS and size[1] <= SMALL_NODES:
+        kind = edges.schema["src"].dataType.simpleString()
+        return links.coalesce(1).mapInPandas(_reached, f"urn {kind}, downstream_reach long")
     return closure(edges).groupBy(F.col("src").alias("urn")).agg(F.count("*").alias("downstream_reach"))
 
 
+def _reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets of nodes as bits of an integer, grown until nothing is new; a node's set is taken up by those that lead to it."""
+    links = [b for b in batches if len(b)]
+    if not links:
+        return
+    rows = pd.concat(links)
+    names = pd.unique(pd.concat([rows["src"], rows["dst"]]))
+    number = {n: i for i, n in enumerate(names)}
+    before: list[list[int]] = [[] for _ in names]
+    sets = [0] * len(names)
+    for a, b in zip(rows["src"].map(number), rows["dst"].map(number)):
+        before[b].append(a)
+        sets[a] |= 1 << b
+    todo = set(range(len(names)))
+    while todo:
+        changed = set()
+        for b in todo:
+            for a in before[b]:
+                if sets[a] | sets[b] != sets[a]:
+                    sets[a] |= sets[b]
+                    changed.add(a)
+        todo = changed
+    own = [(n, (s & ~(1 << i)).bit_count()) for i, (n, s) in enumerate(zip(names, sets))]
+    yield pd.DataFrame([x for x in own if x[1]], columns=["urn", "downstream_reach"])
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind (node or edge), type (null for all of a kind) and number."""
     n = nodes.rollup(F.col("node_type").alias("type")).count().select(F.lit("node").alias("kind"), "type", F.col("count").alias("number"))
