@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +25,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset (tests on one machine) a folder beside the warehouse is taken instead."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset and all runs on one machine (tests) a folder beside the warehouse is taken instead."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that the driver and all executors share")
         at = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_weirlight_shared")
     return at.rstrip("/")
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors. It is removed when the driver's program ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/weirlight-{uuid.uuid4().hex}"
+    _MADE.add(at)
     df.write.option("compression", "zstd").parquet(at, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _removed() -> None:
+    """Deletes what stored has written, through the file system of Spark while it runs, else where it is local."""
+    sc = SparkContext._active_spark_context
+    for at in _MADE:
+        if sc is not None and sc._jvm is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        elif at.startswith(("file:", "/")):
+            shutil.rmtree("/" + at.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    _MADE.clear()
+
+
+atexit.register(_removed)
+
+
 #: In keys, a null doc_id counts as larger than all others.
 LAST = (1 << 63) - 1
 
