@@ -294,6 +294,94 @@ def test_decontamination_finds_short_items(spark):
     assert got == {(m, m) for m in items}
 
 
+def least_edits(item, text):
+    """The least edit distance of the whole item to any stretch of the text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every pair of document and item within the budget is found, with the least edits, and no other; equal items and ties too."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(1, 5)))
+    items = [" ".join(word() for _ in range(n)) for n in (3, 4, 5, 6, 8, 12, 20, 30, 45)]
+    items += [items[4], "é" * 30, items[6] + " " + items[6], items[7][: len(items[7]) // 2]]
+    texts = []
+    for k in range(70):
+        body = [word() for _ in range(r.randint(0, 40))]
+        item = list(r.choice(items))
+        for _ in range(r.randint(0, 2 + decontaminate.budget(len(item)))):
+            at = r.randrange(len(item))
+            item[at : at + 1] = r.choice([[], ["x"], [item[at], "y"]])
+            item = item or ["z"]
+        cut = r.randint(0, len(body))
+        texts.append(" ".join([*body[:cut], "".join(item) * r.choice([1, 1, 2]), *body[cut:]]))
+    own = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in enumerate(texts)], "doc_id long, text string, item_id int, edits int, start string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontaminate.contaminated(own, bench).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        for i, item in enumerate(items):
+            plain = decontaminate.normal(item)
+            n = least_edits(plain, decontaminate.normal(t))
+            if len(plain) >= decontaminate.Q and n <= decontaminate.budget(len(plain)):
+                want[(k, i)] = n
+    assert got == want and len(want) > 60 and len(set(want.values())) > 2
+    assert decontaminate.clean(own, bench).columns == own.columns
+    assert {x["doc_id"] for x in decontaminate.clean(own, bench).collect()} == set(range(len(texts))) - {k for k, _ in want}
+
+
+def test_packing_of_odd_texts(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    import json
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    special = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])][:3] or ["<|endoftext|>"]
+    texts = [*special, f"a {special[0]}b{special[0]}", "x" * 70_000, " ", "\u0000é\u2028", "word " * 5000, "word " * 5000, "a\r\nb\t"]
+    own = spark.createDataFrame([(i, t, "clash", 5, 6) for i, t in enumerate(texts)], "doc_id long, text string, start string, length int, offset int").coalesce(1)
+    got = packing.pack(own, path).toPandas()
+    for i, t in enumerate(texts):
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        own_pieces = got[got.doc_id == i].sort_values("start")
+        assert list(own_pieces.start) == [0, *np.cumsum(own_pieces.length)[:-1]] and own_pieces.length.sum() == len(ids)
+        for p in own_pieces.itertuples():
+            assert zlib.crc32(ids[int(p.start) : int(p.start + p.length)].tobytes()) == p.ids_crc32
+    filled = got.groupby("sequence_id").length.sum()
+    assert (filled <= 2048).all() and filled.sum() / (2048 * len(filled)) > 0.9
+
+
+def test_neighbours_of_few_vectors_and_other_columns(spark):
+    rows = [(i, [float(i), 1.0], 3, 4, "c") for i in range(6)] + [(0, [9.0, 9.0], 1, 1, "c"), (100, [2.0, 1.0], 3, 4, "c")]
+    own = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, query_id long, score string")
+    got = [tuple(r) for r in neighbours.nearest_neighbours(own).orderBy("query_id", "rank").collect()]
+    assert [(q, v) for q, _, v, _ in got] == [(0, 1), (0, 2), (0, 100), (0, 3), (0, 4), (0, 5), (100, 2), (100, 1), (100, 3), (100, 0), (100, 4), (100, 5)]
+    assert [k for _, k, *_ in got] == [1, 2, 3, 4, 5, 6] * 2 and got[6][3] == 0.0
+
+
+def test_neighbours_widen_the_beam_until_recall_is_enough(spark, monkeypatch):
+    """Vectors without structure, a poor graph and a beam that is too narrow at first."""
+    for name, v in (("BEAM", 40), ("GRAPH", 3), ("TREES", 1), ("ROUNDS", 1), ("PART", 100)):
+        monkeypatch.setattr(neighbours, name, v)
+    x = np.random.default_rng(5).normal(size=(500, 24)).astype(np.float32)
+    own = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.nearest_neighbours(own, step=25).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    y, hits = x.astype(np.float64), 0
+    for q in range(0, 500, 25):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & got[q])
+    assert hits >= 0.93 * 200
+
+
 def test_alignment_is_the_least_edit_distance():
     def slow(a, b):
         row = [0] * (len(b) + 1)
