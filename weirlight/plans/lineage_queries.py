@@ -163,6 +163,11 @@ def files_by_type(spark, d):
     return repository.by_type(_typed(spark, d))
 
 
+@query(f"WITH {_TYPED} SELECT file_type, path AS relative_path FROM typed")
+def files_listed(spark, d):
+    return repository.listed(_typed(spark, d))
+
+
 @query(f"WITH {_TYPED} SELECT file_type, count(*) AS files, round(sum(size_bytes) / 1048576, 6) AS mb FROM typed GROUP BY ROLLUP (file_type)")
 def crawl_stats(spark, d):
     return repository.statistics(_typed(spark, d))

@@ -129,3 +129,35 @@ def settings_discovered(spark, d):
     (at / "config/weirlight.yaml").write_text("as_of: '2026-03-05'\nmin_confidence: 0.5\nignore_suffixes: [bak, old]\nenvironment: {x: 1}\n")
     got = settings.load_settings(base=str(at))
     return spark.createDataFrame([("as_of", got.as_of), ("min_confidence", str(got.min_confidence)), ("ignore_suffixes", ",".join(got.ignore_suffixes)), ("environment", ",".join(f"{k}={v}" for k, v in got.environment.items()))], "name string, value string")
+
+
+@query("SELECT 'nodes' AS sheet, CAST(n_nationkey AS VARCHAR) AS first, n_name AS second FROM nation UNION ALL SELECT 'regions & more', r_name, NULL FROM region")
+def sink_workbook(spark, d):
+    """Cells of a workbook with two sheets, read again by the driver."""
+    import zipfile
+    from xml.etree import ElementTree
+
+    at = _local(spark, "workbook") / "report.xlsx"
+    sinks.write_workbook({"nodes": table(spark, d, "nation").select("n_nationkey", "n_name"), "regions & more": table(spark, d, "region").select("r_name")}, str(at))
+    mark, rows = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", []
+    with zipfile.ZipFile(at) as book:
+        names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{mark}sheet")]
+        for i, name in enumerate(names, 1):
+            for row in list(ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{mark}row"))[1:]:
+                cells = ["".join(c.itertext()) for c in row] + [None]
+                rows.append((name, cells[0], cells[1]))
+    return spark.createDataFrame(rows, "sheet string, first string, second string")
+
+
+@query(
+    """SELECT 'case/' || s_suppkey AS source_file, 'etl' || s_suppkey || '.py' AS main, 'com.x.A' || s_nationkey AS class, 'a b' AS first, 'z=1' AS second, 'my job' AS name, 'yarn' AS master, '["--d","2 3","x' || s_suppkey || '"]' AS args FROM supplier"""
+)
+def submit_parameters(spark, d):
+    """Main application, class, configuration, options and arguments of spark-submit."""
+    from weirlight.operators.extract import extract_facts
+
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    line = F.concat(F.lit('spark-submit --master yarn --name="my job" --conf "spark.x=a b" --conf spark.y=z=1 --py-files lib.py,b.zip \\\n  --class com.x.A'), nation, F.lit(" etl"), key, F.lit('.py --d "2 3" x'), key, F.lit(" | tee log\n"))
+    files = table(spark, d, "supplier").select(F.concat(F.lit("case/"), key).alias("relative_path"), F.lit("shell").alias("file_type"), line.alias("content"))
+    own = lambda at: F.get_json_object("params", at)
+    return extract_facts(files).select("source_file", F.col("dependency_job").alias("main"), own("$.class").alias("class"), own("$.configs['spark.x']").alias("first"), own("$.configs['spark.y']").alias("second"), own("$.options.name").alias("name"), own("$.options.master").alias("master"), own("$.args").alias("args"))

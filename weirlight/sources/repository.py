@@ -72,6 +72,11 @@ def by_type(files: DataFrame) -> DataFrame:
     return files.groupBy("file_type").agg(F.count("*").alias("files"), F.round(F.sum("size_bytes") / 1048576, 6).alias("mb"), F.min("relative_path").alias("first_path"), F.max("relative_path").alias("last_path"))
 
 
+def listed(files: DataFrame) -> DataFrame:
+    """The files of each type, as rows in the order of type and path rather than as lists, so that no type is gathered whole."""
+    return files.select("file_type", "relative_path").orderBy("file_type", "relative_path")
+
+
 def statistics(files: DataFrame) -> DataFrame:
     """One row for each type and one, with type null, for all."""
     return files.rollup("file_type").agg(F.count("*").alias("files"), F.round(F.sum("size_bytes") / 1048576, 6).alias("mb"))

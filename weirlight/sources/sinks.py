@@ -1,4 +1,4 @@
-"""Where results go: Parquet, CSV, JSON, JDBC, one JSON document, an HTML page, one CSV for each report sheet.
+"""Where results go: Parquet, CSV, JSON, JDBC, one JSON document, an HTML page, a workbook, one CSV for each report sheet.
 
 Nothing is overwritten unless asked for.
 """
@@ -7,6 +7,10 @@ from __future__ import annotations
 
 import html
 import json
+import math
+import re
+import zipfile
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,3 +82,31 @@ def write_sheets(sheets: dict[str, DataFrame], path: str, overwrite: bool = Fals
         df.write.mode(_mode(overwrite)).csv(f"{path}/{name}", header=True, quoteAll=True, escape='"')
 
 
+def write_workbook(sheets: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
+    """A workbook (Office Open XML) with a sheet for each report relation of at most PAGE_ROWS rows; the first row has the names. Larger relations go to write_sheets."""
+    clean = lambda x: html.escape(re.sub(r"[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", str(x)), quote=False)[:32_767]
+
+    def cell(x: Any) -> str:
+        if x is None:
+            return "<c/>"
+        if isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x):
+            return f"<c><v>{x!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{clean(x)}</t></is></c>'
+
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    main, office, package = (f"http://schemas.openxmlformats.org/{x}" for x in ("spreadsheetml/2006/main", "officeDocument/2006/relationships", "package/2006"))
+    names = [re.sub(r"[\[\]:*?/\\]", "_", n)[:31] for n in sheets]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"names of sheets are alike: {names}")
+    with zipfile.ZipFile(path, "w" if overwrite else "x", zipfile.ZIP_DEFLATED) as out:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        out.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        out.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        out.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{html.escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        out.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        for i, (name, df) in enumerate(sheets.items(), 1):
+            rows = df.limit(PAGE_ROWS + 1).collect()
+            if len(rows) > PAGE_ROWS:
+                raise ValueError(f"{name} has more than {PAGE_ROWS} rows; use write_sheets")
+            body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [df.columns, *rows])
+            out.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
