@@ -87,7 +87,9 @@ def test_resolution():
     assert resolve.resolve_text(None, names) == (None, True)
 
 
-def test_resolution_follows_long_chains_and_shadowed_names(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_resolution_follows_long_chains_and_shadowed_names(spark, monkeypatch, small):
+    monkeypatch.setattr(resolve, "SMALL", small)
     chain = [("A", "${B}/a", "f1"), ("B", "${C}/b", "f2"), ("C", "${D}/c", "f3"), ("D", "${E}/d", "f4"), ("E", "${F}/e", "f5"), ("F", "/root", "f6")]
     shadowed = [("BASE", "${ROOT}/in", "job"), ("BASE", "/tmp", "z"), ("ROOT", "/data", "y")]
     symbols = spark.createDataFrame(chain + shadowed, "name string, value string, source_file string")

@@ -16,6 +16,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("root")
     p.add_argument("out")
     p.add_argument("--as-of", help="day for date expressions, YYYY-MM-DD; without it they stay open")
+    p.add_argument("--workbook", help="also write the report sheets as one workbook of this name, on the driver")
     p.add_argument("--overwrite", action="store_true", help="replace earlier results")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("weirlight").getOrCreate()
@@ -24,6 +25,8 @@ def main(args: list[str] | None = None) -> int:
         sinks.write_parquet(df, f"{a.out}/{name}", *by, overwrite=a.overwrite)
     sheets = {"summary": reports.summary(got.metrics), "top": reports.top_priorities(got.metrics), "sources": reports.sources(got.edges), "pivot": reports.pivot_ready(got.nodes, got.edges, got.metrics), "datasets": reports.all_datasets(got.nodes, lineage.degrees(got.edges)), "jobs": reports.all_jobs(got.nodes, got.edges), "edges": reports.top_edges(got.edges), "metrics": got.metrics}
     sinks.write_sheets(sheets, f"{a.out}/sheets", a.overwrite)
+    if a.workbook:
+        sinks.write_workbook(sheets, a.workbook, a.overwrite)
     return 0
 
 

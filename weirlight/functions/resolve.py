@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from weirlight.sources.storage import stored
 
 PASSES = 10
+#: Symbols that may go with the tasks.
+SMALL = 10_000
 DEFAULTED = re.compile(r"\$\{(\w+):-([^${}]*)\}")
 FORMS = (re.compile(r"\$\{(?:hivevar:|hiveconf:|env:|system:)?([\w.]+)\}"), re.compile(r"(?<!\$)\{([A-Za-z_][\w.]*)\}"), re.compile(r"\$([A-Za-z_]\w*)"))
 #: The same forms for Spark and SQL; no look-behind.
@@ -74,8 +76,11 @@ def looked_up(names: DataFrame, *layers: DataFrame) -> DataFrame:
 def resolved(facts: DataFrame, symbols: DataFrame, column: str = "dataset_urn") -> DataFrame:
     """facts with resolved_path and is_resolved. A variable is looked up in its own file first, then among all.
 
-    Symbols are joined to the facts that name them, so no table of symbols is shipped whole.
+    Symbols are joined to the facts that name them, so no table of symbols is shipped whole unless it has SMALL rows at most.
     """
+    few = symbols.select("source_file", "name", "value").limit(SMALL + 1).collect()
+    if len(few) <= SMALL:
+        return _resolved_small(facts, few, {r["name"]: r["value"] for r in global_symbols(symbols).collect()}, column)
     own = facts.withColumn("_row", F.sha2(F.concat_ws("\x1f", F.coalesce(column, F.lit("")), "source_file"), 256))
     open_ = own.where(has_open(F.col(column))).select("_row", "source_file", column).distinct()
     locals_ = symbols.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("own"))
@@ -105,6 +110,20 @@ def resolved(facts: DataFrame, symbols: DataFrame, column: str = "dataset_urn")
     return out.withColumn("is_resolved", ~has_open(F.col("resolved_path"))).drop("_row", "_resolved")
 
 
+def _resolved_small(facts: DataFrame, symbols: list, every: dict[str, str], column: str) -> DataFrame:
+    """The same for SMALL symbols at most, which go with the tasks."""
+    near: dict[str, dict[str, str]] = {}
+    for r in symbols:
+        near.setdefault(r["source_file"], {})[r["name"]] = r["value"]
+
+    @F.pandas_udf("string")
+    def text(urn: pd.Series, file: pd.Series) -> pd.Series:
+        return pd.Series([resolve_text(u, every | near.get(f, {}))[0] for u, f in zip(urn, file)])
+
+    out = facts.withColumn("resolved_path", F.when(has_open(F.col(column)), text(column, "source_file")).otherwise(F.col(column)))
+    return out.withColumn("is_resolved", ~has_open(F.col("resolved_path")))
+
+
 def environment(spark: SparkSession, nested: dict) -> DataFrame:
     """name, value of a nested mapping: dotted keys, and for each leaf its bare upper-case key."""
 
