@@ -17,7 +17,7 @@ _PATH, _TABLE = r"[\"'](?P<place>[^\"']+)[\"']", r"(?P<relation>[\w$`{}.:]+)"
 
 def _rules() -> Iterator[tuple]:
     for name in ("parquet", "csv", "json", "orc"):
-        yield f"py_read_{name}", ["pyspark"], rf"\.{name}\(\s*{_PATH}(?<!\.write)", "READ_HDFS_PATH", 0.75, True, False
+        yield f"py_read_{name}", ["pyspark"], rf"\bread(?:Stream)?\b(?:(?!\.\s*write)[^\n])*?\.{name}\(\s*{_PATH}", "READ_HDFS_PATH", 0.75, True, False
     yield "py_read_table", ["pyspark"], rf"\bread(?:Stream)?\s*\.\s*table\(\s*[\"'](?P<relation>[^\"']+)", "READ_HIVE_TABLE", 0.8, True, False
     for name in ("parquet", "csv"):
         yield f"py_write_{name}", ["pyspark"], rf"\bwrite\b[^\n]*?\.{name}\(\s*{_PATH}", "WRITE_HDFS_PATH", 0.75, True, False
@@ -42,7 +42,7 @@ def _rules() -> Iterator[tuple]:
     yield "environment", ["shell", "pyspark"], r"\$(?P<name>[A-Z][A-Z0-9_]+)", "CONFIG_REFERENCE", 0.55, True, False
 
 
-DEFAULT_RULES = [(i, a, p.replace(r"(?<!\.write)", ""), *rest) for i, a, p, *rest in _rules()]
+DEFAULT_RULES = list(_rules())
 
 
 def default_rules(spark: SparkSession) -> DataFrame:

@@ -14,16 +14,16 @@ from weirlight.operators.extract import extract_facts
 from weirlight.plans import bridge
 from weirlight.plans.registry import query
 from weirlight.sources import repository, settings
-from weirlight.sources.storage import stored
+from weirlight.sources.storage import exists, stored
 
 
 _KEPT: dict[tuple, tuple[DataFrame, ...]] = {}
 
 
 def _once(spark: SparkSession, d: str, what: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
-    """Written tables of the graph over d, made once in a session for as long as the files of its input are the same."""
+    """Written tables of the graph over d, made once in a session for as long as the files of its input are the same and their own are there."""
     key = (spark.sparkContext.applicationId, d, what, bridge.stamp(spark, d))
-    if key not in _KEPT:
+    if key not in _KEPT or not all(exists(spark, f) for df in _KEPT[key] for f in df.inputFiles()[:1]):
         for old in [k for k in _KEPT if k[:3] == key[:3] or k[0] != key[0]]:
             del _KEPT[old]
         _KEPT[key] = make()

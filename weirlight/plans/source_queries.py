@@ -161,3 +161,25 @@ def submit_parameters(spark, d):
     files = table(spark, d, "supplier").select(F.concat(F.lit("case/"), key).alias("relative_path"), F.lit("shell").alias("file_type"), line.alias("content"))
     own = lambda at: F.get_json_object("params", at)
     return extract_facts(files).select("source_file", F.col("dependency_job").alias("main"), own("$.class").alias("class"), own("$.configs['spark.x']").alias("first"), own("$.configs['spark.y']").alias("second"), own("$.options.name").alias("name"), own("$.options.master").alias("master"), own("$.args").alias("args"))
+
+
+@query(
+    """WITH k AS (SELECT n_nationkey AS k, (SELECT count(*) FROM nation) AS n FROM nation),
+sets AS (
+  SELECT 'hdfs:///data/raw/in_' || k AS urn, 0 AS fan_in, 2 AS fan_out, 2 * (n - k) AS downstream_reach, 0 AS write_job_count, 0.5 AS avg_confidence FROM k
+  UNION ALL SELECT 'hdfs:///data/gold/out_' || k, CASE WHEN k = 0 THEN 2 ELSE 3 END, CASE WHEN k = n - 1 THEN 0 ELSE 2 END, 2 * (n - 1 - k), 1, 0.75 FROM k),
+scored AS (SELECT *, round(CAST((downstream_reach * 3 + fan_out * 2 + write_job_count) * avg_confidence AS DOUBLE), 6) AS priority_score FROM sets)
+SELECT urn, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out, CAST(downstream_reach AS BIGINT) AS downstream_reach, CAST(write_job_count AS BIGINT) AS write_job_count, CAST(avg_confidence AS DOUBLE) AS avg_confidence, priority_score,
+       CASE WHEN priority_score > 50 AND avg_confidence > 0.7 THEN 1 WHEN priority_score > 20 OR avg_confidence > 0.6 THEN 2 ELSE 3 END AS migration_wave FROM scored"""
+)
+def scan_repository(spark, d):
+    """The whole way from files to metrics: each nation is a job that reads a file of its own and what the job before it has written."""
+    from weirlight.plans.scan import scan
+
+    k = F.col("n_nationkey")
+    own = F.concat(F.lit('from pyspark.sql import SparkSession\nBASE = "/data"\nspark.read.parquet(f"{BASE}/raw/in_'), k.cast("string"), F.lit('")'))
+    before = F.when(k == 0, "").otherwise(F.concat(F.lit('.union(spark.read.parquet(f"{BASE}/gold/out_'), (k - 1).cast("string"), F.lit('"))')))
+    text = F.concat(own, before, F.lit('.write.parquet("/data/gold/out_'), k.cast("string"), F.lit('")'))
+    at = _place(spark, "repository")
+    table(spark, d, "nation").select(F.concat(F.lit("job_"), k.cast("string")).alias("folder"), text.alias("value")).repartition("folder").write.partitionBy("folder").text(at)
+    return scan(spark, at).metrics.drop("name", "is_shell_only")

@@ -32,6 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def exists(spark: SparkSession, at: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def removed(made: set[str]) -> None:
     """Deletes these folders, through the file system of Spark while it runs, else where they are local."""
     sc = SparkContext._active_spark_context
