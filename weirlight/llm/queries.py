@@ -13,7 +13,7 @@ from weirlight.llm.near_dedup import OP4_SQL, op4_near_dedup
 from weirlight.llm.neighbours import op5_nearest
 from weirlight.llm.packing import op2_pack
 from weirlight.llm.secret_scan import op10_secrets
-from weirlight.llm.suffix_dedup import op6_suffix_dedup
+from weirlight.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
 from weirlight.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from weirlight.llm.toxicity import op1_toxicity
 
@@ -33,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
 }

@@ -214,3 +214,16 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT rid, c, substr(h, 2 * c + 1, 2 * 1223) AS p FROM (SELECT rid, h, unnest(range(0, greatest(len(h) // 2 - 199, 0), 1024)) AS c FROM texts)),
+windows AS MATERIALIZED (SELECT rid, c + j AS k, md5_number(substr(p, 2 * j + 1, 400)) AS w FROM (SELECT rid, c, p, unnest(range(0, least(1024, len(p) // 2 - 199))) AS j FROM parts)),
+often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT rid, k, CASE WHEN k - lag(k) OVER (PARTITION BY rid ORDER BY k) <= 200 THEN 0 ELSE 1 END AS fresh FROM windows SEMI JOIN often USING (w)),
+runs AS (SELECT rid, min(k) AS b, max(k) + 200 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM hits) GROUP BY rid, run),
+pieces AS (SELECT rid, b, e, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY b) AS before FROM runs),
+cut AS (SELECT rid, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS kept FROM pieces JOIN texts USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM texts LEFT JOIN cut USING (rid)
+"""
