@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that spread over many sites. What is nothing but such lines stays whole, so that the next stage keeps one of its copies. n_chars follows the text."""
     out = line_dedup.cut_texts(docs, spare_whole=True)
-    own = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_cut")}
+    own = {c: F.col("_cut" if c == "text" else f"_row.`{c}`") for c in docs.columns}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("_gone") > 0, F.length("_cut")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*[v.alias(c) for c, v in own.items()])

@@ -61,12 +61,13 @@ def _cut(text: str | None, places: list[int] | None, spare_whole: bool) -> tuple
 
 
 def cut_texts(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, spare_whole: bool = False) -> DataFrame:
-    """_row, a struct of docs' columns as they are; _cut, the text without boilerplate lines; _lines and _gone, the numbers of lines and of those cut."""
+    """_row, a struct of docs' columns but for text; _cut, the text without boilerplate lines; _lines and _gone, the numbers of lines and of those cut."""
+    rest = [f for f in docs.schema.fields if f.name != "text"]  # the text goes to Python and back once, not twice
     keyed = docs.select(*row_key(), F.col(f"`{site}`").alias("site"), "text")
     removed = _lines(keyed).join(boilerplate(keyed, min_sites), ["h1", "h2"], "left_semi").groupBy(*KEY).agg(F.collect_set("place").alias("_places"))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key(), F.col("text").alias("_text"))
+    own = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in rest], F.lit(True).alias("_weirlight")).alias("_row"), *row_key(), F.col("text").alias("_text"))
     joined = own.join(removed, KEY, "left").select("_row", "_text", "_places")
-    kinds = "_row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + ">, _cut string, _lines long, _gone long"
+    kinds = "_row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in rest) + "," * bool(rest) + "`_weirlight`:boolean>, _cut string, _lines long, _gone long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
