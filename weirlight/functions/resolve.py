@@ -80,7 +80,7 @@ def resolved(facts: DataFrame, symbols: DataFrame, column: str = "dataset_urn")
     """
     few = symbols.select("source_file", "name", "value").limit(SMALL + 1).collect()
     if len(few) <= SMALL:
-        return _resolved_small(facts, few, {r["name"]: r["value"] for r in global_symbols(symbols).collect()}, column)
+        return _resolved_small(facts, few, column)
     own = facts.withColumn("_row", F.sha2(F.concat_ws("\x1f", F.coalesce(column, F.lit("")), "source_file"), 256))
     open_ = own.where(has_open(F.col(column))).select("_row", "source_file", column).distinct()
     locals_ = symbols.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("own"))
@@ -110,11 +110,13 @@ def resolved(facts: DataFrame, symbols: DataFrame, column: str = "dataset_urn")
     return out.withColumn("is_resolved", ~has_open(F.col("resolved_path"))).drop("_row", "_resolved")
 
 
-def _resolved_small(facts: DataFrame, symbols: list, every: dict[str, str], column: str) -> DataFrame:
+def _resolved_small(facts: DataFrame, symbols: list, column: str) -> DataFrame:
     """The same for SMALL symbols at most, which go with the tasks."""
     near: dict[str, dict[str, str]] = {}
-    for r in symbols:
+    every: dict[str, str] = {}
+    for r in sorted(symbols, key=lambda r: (r["source_file"] or "", r["value"] or "")):  # of one name the last file's value counts among all
         near.setdefault(r["source_file"], {})[r["name"]] = r["value"]
+        every[r["name"]] = r["value"]
 
     @F.pandas_udf("string")
     def text(urn: pd.Series, file: pd.Series) -> pd.Series:
