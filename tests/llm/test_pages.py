@@ -51,7 +51,7 @@ def test_pages_by_hand():
 
 
 def test_parsing_is_linear():
-    n = 1 << 20
+    n = 1 << 19
     for unit in ("<a ", '<a "', "<a b='\">", '<a b=">"', "<!", "<!--", "<button>", "<script>", "<", "&#1", "<p", "<div", "= "):
         for page in (unit * (n // len(unit)), "<" + unit * (n // len(unit)) + ">", "<article><p>word</p>" + unit * (n // len(unit))):
             t = time.time()
