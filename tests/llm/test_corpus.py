@@ -365,9 +365,9 @@ def test_neighbours_of_few_vectors_and_other_columns(spark):
     assert [k for _, k, *_ in got] == [1, 2, 3, 4, 5, 6] * 2 and got[6][3] == 0.0
 
 
-def test_neighbours_widen_the_beam_until_recall_is_enough(spark, monkeypatch):
-    """Vectors without structure, a poor graph and a beam that is too narrow at first."""
-    for name, v in (("BEAM", 40), ("GRAPH", 3), ("TREES", 1), ("ROUNDS", 1), ("PART", 100)):
+def test_neighbours_look_through_cells_until_recall_is_enough(spark, monkeypatch):
+    """Vectors without structure, poor centres, small parts."""
+    for name, v in (("EXACT", 100), ("CELL_ROWS", 10), ("SAMPLE", 3), ("ROUNDS", 1), ("PART", 100), ("LEAST_PART", 10)):
         monkeypatch.setattr(neighbours, name, v)
     x = np.random.default_rng(5).normal(size=(500, 24)).astype(np.float32)
     own = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
@@ -382,6 +382,57 @@ def test_neighbours_widen_the_beam_until_recall_is_enough(spark, monkeypatch):
     assert hits >= 0.93 * 200
 
 
+def test_neighbours_equal_brute_force_row_by_row(spark, monkeypatch):
+    """No structure, copies in number, ties of distance, offsets far larger than the differences: nothing may be missed."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x[500:700] = x[500]
+    x[800:900] = np.round(x[800:900])[:, :1] * np.eye(32, dtype=np.float32)[rng.integers(0, 32, 100)]
+    x[1000:1400] = 1000 + x[1000:1400] * 1e-3
+    x[1500:1600] *= np.float32(1e25)
+    y = x.astype(np.float64)
+    own = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x) if row.any()], "vec_id long, embedding array<float>").repartition(5)
+    at = np.flatnonzero(x.any(1))
+    want = {}
+    for q in at[at % 50 == 0].tolist():
+        d = np.sqrt(((y[at] - y[q]) ** 2).sum(1))
+        order = [k for k in np.lexsort((at, d)) if at[k] != q][:10]
+        want[q] = [(k + 1, int(at[j]), float(d[j])) for k, j in enumerate(order)]
+    for chunk, parts in ((1 << 15, 1), (100, 12)):
+        monkeypatch.setattr(neighbours, "CHUNK", chunk)
+        monkeypatch.setattr(neighbours, "PARTS", parts)
+        monkeypatch.setattr(neighbours, "LEAST_PART", 100)
+        got = defaultdict(list)
+        for r in neighbours.nearest_neighbours(own, step=50).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        assert set(got) == set(want)
+        for q, rows in want.items():
+            assert [r[:2] for r in got[q]] == [r[:2] for r in rows] and np.allclose([r[2] for r in got[q]], [r[2] for r in rows], rtol=1e-12, atol=0), q
+
+
+def test_neighbours_in_cells_of_many_parts(spark, monkeypatch):
+    """Groups of very unequal size, one of them equal vectors only; repeated vec_ids; few cells are looked through."""
+    for name, v in (("EXACT", 100), ("CELL_ROWS", 60), ("PART", 150), ("LEAST_PART", 50), ("CHUNK", 70)):
+        monkeypatch.setattr(neighbours, name, v)
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(12, 16)) * 20
+    group = np.r_[np.zeros(1200, int), rng.integers(1, 12, 1200), np.full(600, 5)]
+    x = (middle[group] + rng.normal(size=(3000, 16))).astype(np.float32)
+    x[2400:] = x[2400]
+    own = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(7, [1e6] * 16)], "vec_id long, embedding array<float>").repartition(4)
+    y, hits, got = x.astype(np.float64), 0, defaultdict(list)
+    for r in neighbours.nearest_neighbours(own, step=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 3000, 20):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        want = [k for k in np.lexsort((np.arange(3000), d)) if k != q][:10]
+        hits += len(set(want) & set(got[q]))
+        assert len(got[q]) == 10
+    assert hits >= 0.93 * 1500 and got[2400] == list(range(2401, 2411)) and got[2420] == list(range(2400, 2410))
+    first, number = neighbours.parts_of(middle, np.array([1200.0] + [100.0] * 11), 150)
+    assert number[0] == 8 and first[0] not in {f for f in first[1:]} and len({*range(first[0], first[0] + 8)} & {*first[1:].tolist()}) == 0
+
+
 def test_alignment_is_the_least_edit_distance():
     def slow(a, b):
         row = [0] * (len(b) + 1)
