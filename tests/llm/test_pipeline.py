@@ -2,15 +2,19 @@
 
 import itertools
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from weirlight.llm import decontaminate, toxicity
-from weirlight.llm.common import utf8
+from weirlight.llm.common import BATCH, BATCH_UNSET, utf8
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, n_lines long, n_lines_removed long, owner string, score double, component_id long, _places int, length long, bucket long"
 
@@ -155,3 +159,49 @@ def test_stages_of_an_empty_table(spark, tables, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    had = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, BATCH_UNSET)
+        docs = spark.range(1, numPartitions=1).selectExpr("id as doc_id", "'x' as text", "'s' as source")
+        long = spark.range(30, numPartitions=1).selectExpr("repeat(cast(id as string), 500000) as text")
+        for _, stage in corpus_pipeline.STAGES[1:3]:
+            stage(spark, docs, "")
+        most = max(r[0] for r in long.mapInArrow(sizes, "n long").collect())
+        assert most < 8 << 20
+        spark.conf.set(BATCH, "1m")  # what the session has already stays
+        corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert spark.conf.get(BATCH) == "1m"
+    finally:
+        spark.conf.set(BATCH, had)
+
+
+def test_workers_give_free_memory_back():
+    """Buffers freed below one that is still in use stay with the process, unless they are given back."""
+    code = """
+import psutil, sys
+import pyarrow as pa
+from weirlight.llm.common import tidy
+
+kept = []
+def run(batches):
+    for b in batches:
+        held = [bytes(700) for _ in range(200_000)]
+        kept.append(bytes(900))
+        del held
+        yield b
+
+list(tidy(run)(iter([pa.record_batch([pa.array([1])], names=["x"])])))
+print(psutil.Process().memory_info().rss >> 20)
+list(run(iter([pa.record_batch([pa.array([1])], names=["x"])])))
+print(psutil.Process().memory_info().rss >> 20)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(corpus_pipeline.__file__).parent)
+    tidied, as_it_was = map(int, said.stdout.split())
+    assert tidied < as_it_was - 60

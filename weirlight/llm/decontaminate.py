@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlight.llm.common import INVERSE, mixed, pieces, powers, table
+from weirlight.llm.common import INVERSE, mixed, pieces, powers, table, tidy
 
 Q, EDITS = 8, 0.08
 BLOCK_CHARS = 8_000_000
@@ -231,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
         return run
 
     for block in blocks(benchmark):
-        docs = docs.mapInArrow(keeping(Index(block, edits), docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(tidy(keeping(Index(block, edits), docs.columns.index("text"))), docs.schema)
     return docs
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlight.llm.common import KEY, row_key, stored, table
+from weirlight.llm.common import KEY, row_key, stored, table, tidy
 
 MIN_SITES = 10
 LG_K = 12
@@ -74,7 +74,7 @@ def cut_texts(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
             got = [_cut(t, p, spare_whole) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=["_row", "_cut", "_lines", "_gone"])
 
-    return joined.mapInArrow(run, kinds)
+    return joined.mapInArrow(tidy(run), kinds)
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, spare_whole: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlight.llm.common import KEY, joined, mixed, pieces, row_key, stored, table, utf8, word_hashes, word_spans
+from weirlight.llm.common import KEY, joined, mixed, pieces, row_key, stored, table, tidy, utf8, word_hashes, word_spans
 from weirlight.llm.graph import components
 
 THRESHOLD = 75
@@ -140,14 +140,14 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFram
     texts = texts.select(F.col("owner").alias("node"), "text").repartition("node")
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_reaching, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(_reaching), "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: owner, text_key, doc_id, n_shingles, component_id, kept."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     keyed = docs.select(*row_key(), "doc_id", "text")
-    signed = stored(keyed.mapInArrow(_signing, SCHEMA))
+    signed = stored(keyed.mapInArrow(tidy(_signing), SCHEMA))
     linked = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # equal sets become one node; their smallest document stands for them
     nodes = stored(linked.groupBy("h1", "h2").agg(F.min(F.struct("owner", "text_key", "n_shingles", *SKETCH, "bands")).alias("x")).select("h1", "h2", F.col("x.owner").alias("node"), *[f"x.{c}" for c in ("text_key", "n_shingles", *SKETCH, "bands")]))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlight.llm.common import table, utf8
+from weirlight.llm.common import table, tidy, utf8
 
 WINDOW = 2048
 END_ID = 1
@@ -211,7 +211,7 @@ def _packer(path: str, window: int, end_id: int) -> Callable[[Iterator[pa.Record
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_packer(tokenizer, window, end_id), SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidy(_packer(tokenizer, window, end_id)), SCHEMA)
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

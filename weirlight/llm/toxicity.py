@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlight.llm.common import joined, pieces, table, utf8, word_hashes, word_spans
+from weirlight.llm.common import joined, pieces, table, tidy, utf8, word_hashes, word_spans
 
 TOXIC, OTHER, LONGEST = 1200, 2800, 100_000
 WINDOW, STRIDE, PIECE = 32, 16, 24
@@ -370,7 +370,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], names=["model"])
 
     # one task fits, on the bounded sample, so that the driver holds no more than the model
-    row = rows.select("doc_id", "text", F.col("toxic").cast("int")).coalesce(1).mapInArrow(fitting, "model binary").first()
+    row = rows.select("doc_id", "text", F.col("toxic").cast("int")).coalesce(1).mapInArrow(tidy(fitting), "model binary").first()
     parts = pickle.loads(row[0]) if row else None
     if not parts:
         return None
@@ -404,7 +404,7 @@ def not_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at).to_pylist()) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
