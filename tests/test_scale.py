@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from weirlight.operators import facts as fx
+from weirlight.operators import lineage
 
 FACT = "fact_type string, dataset_urn string, source_file string, line_number int, confidence double, extraction_method string, evidence string, has_placeholders boolean"
 
@@ -34,3 +35,14 @@ def test_repeats_against_brute_force(spark):
             best[x[:4]] = (rank, x)
     got = fx.without_repeats(spark.createDataFrame(rows, FACT)).collect()
     assert sorted(map(repr, (tuple(x) for x in got))) == sorted(repr((*k, x[4] + 0.0 if x[4] is not None else None, *x[5:])) for k, (_, x) in best.items())
+
+
+def test_names_are_judged_once_each(spark):
+    """The filter over canonical names stays above the aggregates, where it sees each name once and not every fact."""
+    rows = [("READ", "/data//a", "f", 1, 0.5, "AST", "", True), ("READ", "/data/a/", "g", 1, 0.5, "AST", "", True), ("WRITE", "/tmp/x", "f", 2, 0.5, "AST", "", True), ("WRITE", "/data/a", "f", 2, 0.5, "AST", "", True), ("READ", "inputFrame", "f", 3, 0.5, "AST", "", True), ("READ", None, "f", 4, 0.5, "AST", "", True)]
+    facts = spark.createDataFrame([(*r, k) for r, k in zip(rows, ("s3", "hdfs", "x", None, "x", "x"))], FACT + ", dataset_type string")
+    nodes = lineage.dataset_nodes(fx.without_repeats(facts))
+    assert list(map(tuple, nodes.collect())) == [("DATASET", "hdfs:///data/a", "a", "hdfs", 3)]
+    steps = nodes._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    last = max(i for i, x in enumerate(steps) if "/staging/" in x)
+    assert sum("Aggregate" in x for x in steps[last:]) == 3  # by name, and two of without_repeats
