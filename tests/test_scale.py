@@ -46,3 +46,34 @@ def test_names_are_judged_once_each(spark):
     steps = nodes._jdf.queryExecution().optimizedPlan().toString().split("\n")
     last = max(i for i, x in enumerate(steps) if "/staging/" in x)
     assert sum("Aggregate" in x for x in steps[last:]) == 3  # by name, and two of without_repeats
+
+
+def test_reach_of_single_file_makes_no_pairs(spark, monkeypatch):
+    """Chains and trees that lead to one end are counted by distance."""
+    monkeypatch.setattr(lineage, "SMALL_LINKS", 0)
+    monkeypatch.setattr(lineage, "closure", None)
+    links = [(i, i + 1) for i in range(77)] + [(200, 40), (201, 200), (300, 301), (301, 301), (300, 301)]
+    want = {**{i: 77 - i for i in range(77)}, 200: 38, 201: 39, 300: 1}
+    assert dict(map(tuple, lineage.reach(spark.createDataFrame(links, "src long, dst long")).collect())) == want
+
+
+def test_reach_of_forks_rounds_and_chains_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "SMALL_LINKS", 0)
+    for seed in range(4):
+        r = random.Random(seed)
+        links = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range((25, 40, 60, 45)[seed])]
+        links += [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("t0", "t1"), ("t1", "c0"), ("f", "p0"), ("f", "q0"), ("p0", "p1"), ("p1", "z"), ("q0", "q1"), ("q1", "p1"), ("w", "v"), ("v", "f"), ("z", "z")]
+        after: dict = {}
+        for a, b in links:
+            after.setdefault(a, set()).add(b)
+        want = {}
+        for a in after:
+            seen, todo = set(), [a]
+            while todo:
+                new = after.get(todo.pop(), set()) - seen
+                seen |= new
+                todo += new
+            if seen - {a}:
+                want[a] = len(seen - {a})
+        got = lineage.reach(spark.createDataFrame(links, "src string, dst string")).collect()
+        assert dict(map(tuple, got)) == want and len(got) == len(want)
