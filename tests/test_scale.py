@@ -6,8 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from weirlight.functions import detect
 from weirlight.operators import facts as fx
 from weirlight.operators import lineage
+from weirlight.sources import repository
 
 FACT = "fact_type string, dataset_urn string, source_file string, line_number int, confidence double, extraction_method string, evidence string, has_placeholders boolean"
 
@@ -77,3 +79,17 @@ def test_reach_of_forks_rounds_and_chains_against_brute_force(spark, monkeypatch
                 want[a] = len(seen - {a})
         got = lineage.reach(spark.createDataFrame(links, "src string, dst string")).collect()
         assert dict(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_files_are_looked_through_only_where_that_decides(spark, monkeypatch):
+    monkeypatch.setattr(detect, "type_by_content", lambda c: F.raise_error(F.concat(F.lit("looked through "), c)).cast("string"))
+    files = spark.createDataFrame([("a.py", "x"), ("b", "#!/bin/sh\nls"), ("c.hql", "#!/usr/bin/scala")], "path string, content string").repartition(1)
+    assert [r[0] for r in files.select(detect.file_type(F.col("path"), F.col("content"))).collect()] == ["pyspark", "shell", "hive"]
+
+
+def test_listed_files_are_typed_before_the_sort(spark):
+    """The sort's sample reads written rows, not contents."""
+    files = spark.createDataFrame([("b.sh", "ls"), ("a", "select 1 from t"), ("a.sh", "ls")], "relative_path string, content string").repartition(2)
+    got = repository.listed(files.withColumn("file_type", detect.file_type(F.col("relative_path"), F.col("content"))))
+    assert [tuple(r) for r in got.collect()] == [("hive", "a"), ("shell", "a.sh"), ("shell", "b.sh")]
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
