@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weirlight.functions import detect
 from weirlight.operators import facts as fx
-from weirlight.operators import lineage
+from weirlight.operators import lineage, rules
 from weirlight.sources import repository
 
 FACT = "fact_type string, dataset_urn string, source_file string, line_number int, confidence double, extraction_method string, evidence string, has_placeholders boolean"
@@ -93,3 +93,24 @@ def test_listed_files_are_typed_before_the_sort(spark):
     got = repository.listed(files.withColumn("file_type", detect.file_type(F.col("relative_path"), F.col("content"))))
     assert [tuple(r) for r in got.collect()] == [("hive", "a"), ("shell", "a.sh"), ("shell", "b.sh")]
     assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_are_handed_on_in_small_frames(spark):
+    """A file of many matches; the plan's function gives them bit by bit, in order and with their lines."""
+    n = 3 * 4_000
+    text = "\n".join(f"hdfs dfs -get /a{i} /b${{c}}\n" for i in range(n // 2))
+    files = spark.createDataFrame([("p.sh", "shell", text), ("q.sh", "shell", None), ("r.sh", "shell", "ls")], "path string, file_type string, content string")
+    seen = []
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            seen.extend(run(iter([files.toPandas()])))
+
+    rules.matches(Files(), rules.default_rules(spark))
+    assert max(map(len, seen)) <= 4_000 and sum(map(len, seen)) == n
+    got = rules.matches(files, rules.default_rules(spark)).collect()
+    assert [(r["line"], r["rule_id"]) for r in got] == [(2 * i + 1, k) for i in range(n // 2) for k in ("sh_get", "property")]
+    assert all(text[r["start"] : r["end"]] == r["match_text"] for r in got)
